@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import decontaminate
+from corpusloom.llm import decontaminate, media, pii, toxicity
 from corpusloom.plans.session import read_table
 
 
@@ -15,8 +15,25 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, items))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(media.store(read_table(spark, sf_dir, "documents")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    machine = toxicity.train(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.decided(toxicity.score(docs, machine))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_pii": op5_pii,
+    "op6_media": op6_media,
+    "op7_toxicity": op7_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
