@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, media, pii, toxicity
+from corpusloom.llm import decontaminate, media, pii, substring, suffixes, tokencount, toxicity
 from corpusloom.plans.session import read_table
 
 
@@ -15,6 +16,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.scan(docs, items))
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.substring_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the named public tokenizer file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read_table(spark, sf_dir, "documents")).drop("found")
 
@@ -29,11 +46,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.decided(toxicity.score(docs, machine))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.suffix_dedup(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_substring": op2_substring,
+    "op3_token_counts": op3_token_counts,
     "op5_pii": op5_pii,
     "op6_media": op6_media,
     "op7_toxicity": op7_toxicity,
+    "op9_suffix_array": op9_suffix_array,
 }
 
 ORACLE_SQL: dict[str, str] = {}
