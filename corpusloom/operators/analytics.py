@@ -204,7 +204,7 @@ def evidence_rows(corpus: Corpus) -> DataFrame:
     own = corpus.parsed.where(F.col("doc_type").isin(*policy.delivery_types) & F.col("document_id").isNotNull()) if policy.delivery_types else corpus.parsed.limit(0)
     parts = []
     for role, aliases in policy.evidence_roles:
-        found = F.filter(F.transform("sections", lambda s: s["anchor"]), lambda a, al=aliases: a.isin(*al))
+        found = F.array_intersect(F.transform("sections", lambda s: s["anchor"]), F.array(*map(F.lit, aliases)))
         code = F.when(F.size(found) == 0, "missing-evidence-role").when(F.size(found) > 1, "ambiguous-evidence-role")
         parts.append(own.select(F.col("document_id").alias("owner"), F.lit(role).alias("role"), F.when(F.size(found) == 1, F.try_element_at(found, F.lit(1))).alias("anchor"), code.alias("code")))
     if not parts:

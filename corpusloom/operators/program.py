@@ -86,8 +86,8 @@ def plan_violations(milestones: DataFrame, documents: DataFrame, anchors: DataFr
     roadmap = documents.select(F.col("document_id").alias("roadmap_id"), F.col("doc_type").alias("roadmap_type"), F.col("status").alias("roadmap_status"), F.lit(True).alias("roadmap_known"))
     m = m.join(roadmap, "roadmap_id", "left")
     state = F.coalesce("authored_state", base_state("roadmap_status"))
-    by_key = Window.partitionBy("program_id", "milestone")
-    times = lambda c: F.sum(F.lit(1)).over(Window.partitionBy("program_id", c))
+    for name in ("milestone", "ord", "roadmap_id"):
+        m = m.withColumn(f"n_{name}", F.count("*").over(Window.partitionBy("program_id", name)))
     rules = [
         (~F.coalesce(F.col("milestone").rlike("^[a-z][a-z0-9-]*$"), F.lit(False)), "invalid-milestone-id"),
         (F.trim(F.coalesce("title", F.lit(""))) == "", "invalid-title"),
@@ -106,9 +106,9 @@ def plan_violations(milestones: DataFrame, documents: DataFrame, anchors: DataFr
         ((state != "waiting") & F.col("waiting_for").isNotNull(), "unexpected-waiting-condition"),
         ((state == "deferred") & F.col("reopen_when").isNull(), "missing-reopen-condition"),
         ((state != "deferred") & F.col("reopen_when").isNotNull(), "unexpected-reopen-condition"),
-        (F.sum(F.lit(1)).over(by_key) > 1, "duplicate-milestone-id"),
-        (times("ord") > 1, "duplicate-order"),
-        (F.col("roadmap_id").isNotNull() & (times("roadmap_id") > 1), "duplicate-roadmap-owner"),
+        (F.col("n_milestone") > 1, "duplicate-milestone-id"),
+        (F.col("n_ord") > 1, "duplicate-order"),
+        (F.col("roadmap_id").isNotNull() & (F.col("n_roadmap_id") > 1), "duplicate-roadmap-owner"),
     ]
     codes = F.array_compact(F.array(*(F.when(c, F.lit(code)) for c, code in rules)))
     own = m.select("program_id", "milestone", F.explode(codes).alias("code"))

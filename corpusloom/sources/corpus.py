@@ -4,26 +4,40 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
 from corpusloom.functions.markdown import INDEX_NAMES, parse_document
 from corpusloom.plans.session import materialize, ship
 from corpusloom.sources.policy import Policy
 
-PARSED = StructType.fromDDL(
-    "path string, content string, lines array<string>, end_line int, document_id string, revision long, doc_type string, status string,"
-    "relations array<struct<relation:string,kind:string,target:string,pin:long>>,"
-    "additional array<struct<name:string,value_type:string,value_json:string>>,"
-    "issues array<struct<message:string,affects_graph:boolean>>,"
-    "sections array<struct<ordinal:int,title:string,anchor:string,level:int,start_line:int,end_line:int>>,"
-    "section_issues array<string>, links array<struct<ordinal:int,raw:string,line:int>>, reach_links array<string>"
+def _struct(**fields: DataType) -> StructType:
+    return StructType([StructField(n, t) for n, t in fields.items()])
+
+
+_TEXT, _INT, _LONG, _FLAG = StringType(), IntegerType(), LongType(), BooleanType()
+PARSED = _struct(
+    path=_TEXT,
+    content=_TEXT,
+    lines=ArrayType(_TEXT),
+    end_line=_INT,
+    document_id=_TEXT,
+    revision=_LONG,
+    doc_type=_TEXT,
+    status=_TEXT,
+    relations=ArrayType(_struct(relation=_TEXT, kind=_TEXT, target=_TEXT, pin=_LONG)),
+    additional=ArrayType(_struct(name=_TEXT, value_type=_TEXT, value_json=_TEXT)),
+    issues=ArrayType(_struct(message=_TEXT, affects_graph=_FLAG)),
+    sections=ArrayType(_struct(ordinal=_INT, title=_TEXT, anchor=_TEXT, level=_INT, start_line=_INT, end_line=_INT)),
+    section_issues=ArrayType(_TEXT),
+    links=ArrayType(_struct(ordinal=_INT, raw=_TEXT, line=_INT)),
+    reach_links=ArrayType(_TEXT),
 )
 
 
@@ -151,5 +165,3 @@ def build_corpus(files: DataFrame, policy: Policy) -> Corpus:
     return Corpus(policy, members, materialize(whole, "corpus"))
 
 
-def with_policy(corpus: Corpus, **changes: object) -> Corpus:
-    return replace(corpus, policy=replace(corpus.policy, **changes))
