@@ -3,8 +3,8 @@
 A softmax regression, trained on a labelled table, gives each document a posterior
 over the domains. A document's rate says how often it is drawn; its tokens count for
 each domain by posterior. The rates minimise the squares of what the domains' expected
-token totals miss of their targets, each in units of its own curvature, subject to
-being nonnegative. They are found by accelerated projected gradient from rates of one.
+token totals miss of their targets, weighted by the inverse of their curvature matrix,
+subject to being nonnegative. They are found by accelerated projected gradient from rates of one.
 
 A rate's gradient needs its document's posterior and the few domains' totals only. So
 documents stay where they are: a step is one pass that replays the earlier steps'
@@ -164,12 +164,11 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], targets: dict[str, flo
     if not whole or not weights.sum():
         return done
     goal = whole * weights / sum(targets.values())
-    own = np.maximum(np.diag(curvature), 1e-12 * whole)
-    step = 1 / np.linalg.eigvalsh(curvature / np.sqrt(own[:, None] * own)).max()
+    weight = np.linalg.inv(curvature + 1e-9 * np.trace(curvature) * np.eye(width))  # for which a step of 1 descends
     ahead, t = totals, 1.0
     for _ in range(steps):
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        done.vectors.append(step * (ahead - goal) / own)
+        done.vectors.append(weight @ (ahead - goal))
         done.momentum.append((t - 1) / after)
         now, ahead = _sums(table, width, done)
         t = after
