@@ -16,8 +16,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField
 
-from corpusloom.llm.arrays import binary_array, byte_view, gather
+from corpusloom.llm.arrays import binary_array, byte_view, column, gather, map_text
 from corpusloom.plans.session import shuffle_partitions
 
 #: Bytes of text for each bucket: what one task holds at a time grows with this only.
@@ -25,7 +26,7 @@ BUCKET_BYTES = 6 << 20
 MOST = np.iinfo(np.int64).max
 
 
-def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 6) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], np.int64)
     return zstandard.ZstdCompressor(level=level).compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
@@ -45,6 +46,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return plain.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
 
 
+def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, _key, packed, block) of keyed documents: texts compressed for the way."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, object]:
+        c = zstandard.ZstdCompressor(level=3)
+        return {"packed": [c.compress(t) for t in column(batch, "text").cast(pa.binary()).to_pylist()]}
+
+    packed = map_text(docs, ["doc_id", "_key"], [StructField("packed", BinaryType())], work)
+    return packed.withColumn("block", F.pmod("_key", F.lit(blocks)))
+
+
+def unpacked_texts(table: pa.Table) -> list[bytes]:
+    d = zstandard.ZstdDecompressor()
+    return [d.decompress(t) for t in table.column("packed").to_pylist()]
+
+
 def bucket_count(docs: DataFrame) -> int:
     """From the bytes of all texts, and at least the shuffle's partitions."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -66,9 +83,12 @@ class Strings:
 
 
 def pack_buckets(
-    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, marks: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, most: int = 16 << 20
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, marks: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, tagged: bool = True, most: int = 16 << 20
 ) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed strings) of occurrences ``data[starts:ends]``, by their tags."""
+    """(bucket, packed strings) of occurrences ``data[starts:ends]``, by their tags.
+
+    Without ``tagged`` the tags only choose the bucket and do not travel.
+    """
     at = 0
     sums = np.concatenate([[0], np.cumsum(ends - starts)])
     while at < len(starts):
@@ -90,7 +110,7 @@ def pack_buckets(
             body, cuts = gather(own, offsets[mine], offsets[mine + 1])
             inside = members[np.searchsorted(coded_at, a) : np.searchsorted(coded_at, z)]
             rows, local = np.unique(doc[at:to][inside], return_inverse=True)
-            yield b, pack(body, np.diff(cuts).astype(np.int32), tags[at:to][mine], marks[at:to][mine].astype(np.int32), (number[code[inside]] - a).astype(np.int32), local.astype(np.int32), place[at:to][inside], ids[rows], keys[rows])
+            yield b, pack(body, np.diff(cuts).astype(np.int32), tags[at:to][mine] * np.uint64(tagged), marks[at:to][mine].astype(np.int32), (number[code[inside]] - a).astype(np.int32), local.astype(np.int32), place[at:to][inside], ids[rows], keys[rows])
         at = to
 
 

@@ -19,10 +19,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import PrefixHash, byte_view, column, gather, gram_hashes, mixed, pieces, sliding_min, words_of
-from corpusloom.llm.packing import MOST, Strings, blob_rows, blobs_of, bucket_count, keyed, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket
+from corpusloom.llm.packing import MOST, Strings, blob_rows, blobs_of, bucket_count, in_blocks, keyed, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
 
 GRAM = 3
 
@@ -141,7 +140,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             for batch in pieces(whole, "text", 4 << 20):
                 joined, a, z, tags, row, place = super_kmers(*byte_view(column(batch, "text")), window)
                 ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
-                yield blob_rows(pack_buckets(joined, a, z, mixed(tags), np.zeros(len(a), np.int64), row, place, ids, keys, buckets), "bucket")
+                yield blob_rows(pack_buckets(joined, a, z, mixed(tags), np.zeros(len(a), np.int64), row, place, ids, keys, buckets, tagged=False), "bucket")
 
     def count(table: pa.Table) -> pa.Table:
         found = ranges_to_remove(unpack_bucket(blobs_of(table)), window)
@@ -149,7 +148,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        texts = left.column("text").cast(pa.binary()).to_pylist()
+        texts = unpacked_texts(left)
         row, a, b = row_ranges(numbers(left.column("_key"), 0), blobs_of(right))
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         for i, text in enumerate(texts):
@@ -167,9 +166,8 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
 
     packed = docs.mapInArrow(split, "bucket long, blob binary")
     ranges = packed.groupBy("bucket").applyInArrow(count, "block long, blob binary")
-    placed = docs.withColumn("block", F.pmod("_key", F.lit(buckets)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return in_blocks(docs, buckets).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def brute_force(documents: list[tuple[int, str | None]], window: int = 13) -> dict[int, tuple[int, int, str]]:
