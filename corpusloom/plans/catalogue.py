@@ -5,13 +5,15 @@ Names begin with the operators' IDs where a query shows one operator alone.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators import analytics, federation, program, ranges, resolve, snapshots, traverse, validate
-from corpusloom.plans.session import read_table
+from corpusloom.operators import analytics, federation, governance, program, ranges, resolve, snapshots, traverse, validate
+from corpusloom.plans import commands
+from corpusloom.plans.session import read_table, shared_dir
 from corpusloom.plans.synth import POLICY, corpus, rendered
 from corpusloom.sources.corpus import build_corpus, memberships
 
@@ -481,3 +483,147 @@ def g21_federated_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.when(k % 4 < 2, F.concat(F.lit("beta::"), "document_id")).when(k % 4 == 2, F.lit("gamma::CUST-1")).otherwise(F.concat(F.lit("alpha::"), "document_id"))
     refs = own.select(F.lit("alpha").alias("source"), "document_id", F.lit("related").alias("relation"), target.alias("target"), F.lit(None).cast("long").alias("pin"))
     return federation.resolve_targets(refs, documents).select("source_id", "target_id", "outcome")
+
+
+# Plans, rules and snapshots --------------------------------------------------------------
+@query(
+    "p9_navigation",
+    """SELECT 'ORD-' || o_orderkey AS document_id, sha256('---' || chr(10) || 'id: ORD-' || o_orderkey || chr(10) || 'revision: 1' || chr(10) || 'type: order' || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'derived_from: [CUST-' || o_custkey || ']' || chr(10) || 'validated_against: [CUST-' || o_custkey || '@' || (1 + o_orderkey % 3) || ']' || chr(10) || '---' || chr(10) || '# Order ' || o_orderkey || chr(10)) AS sha256
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""",
+)
+def p9_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an order's document says before its first line section."""
+    c = corpus(spark, sf_dir)
+    own = c.parsed.where("doc_type = 'order'").where(F.exists("sections", lambda s: s["level"] == 2))
+    return own.select("document_id", F.sha2(commands.navigation_text(c), 256).alias("sha256"))
+
+
+@query("a10_pin_totals", "SELECT CASE WHEN o_orderkey % 3 = o_custkey % 3 THEN 'current' ELSE 'stale' END AS state, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL")
+def a10_pin_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.pin_states(corpus(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query(
+    "a12_profile_counts",
+    """SELECT 'customer' AS profile, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (c_custkey % 3 = 0) + count(*) FILTER (c_custkey % 7 = 0) + count(*) FILTER (lower(c_mktsegment) NOT IN ('building', 'machinery')) AS BIGINT) AS violations FROM customer
+UNION ALL SELECT 'order', count(*), count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) + count(*) FILTER (o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber IN (1, 2))) FROM orders""",
+)
+def a12_profile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.profile_counts(corpus(spark, sf_dir))
+
+
+@query("a17_next_id", "SELECT 'CUST-' || (max(c_custkey) + 1) AS document_id, 'customers/CUST-' || (max(c_custkey) + 1) || '.md' AS path FROM customer")
+def a17_next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([governance.next_id(corpus(spark, sf_dir), "CUST", "customers")], "document_id string, path string")
+
+
+@query(
+    "a22_transitions",
+    """WITH h AS (SELECT CAST(o_custkey AS VARCHAR) AS workstream, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS ordinal, CASE o_orderkey % 4 WHEN 0 THEN 'mandated' WHEN 1 THEN 'planned' WHEN 2 THEN 'implementing' ELSE 'blocked' END AS state FROM orders),
+ s AS (SELECT *, lag(state) OVER (PARTITION BY workstream ORDER BY ordinal) AS before FROM h)
+SELECT workstream, ordinal, CASE WHEN before IS NULL THEN 'invalid-start' ELSE 'invalid-transition' END AS code FROM s
+WHERE (before IS NULL AND state <> 'mandated') OR (before IS NOT NULL AND NOT ((before = 'mandated' AND state IN ('planned', 'blocked')) OR (before = 'planned' AND state IN ('implementing', 'blocked')) OR (before = 'implementing' AND state = 'blocked')))""",
+)
+def a22_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    state = F.when(k % 4 == 0, "mandated").when(k % 4 == 1, "planned").when(k % 4 == 2, "implementing").otherwise("blocked")
+    at = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    history = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("workstream"), at.cast("long").alias("ordinal"), state.alias("state"), F.lit(1).alias("attempt"))
+    return governance.transition_violations(history)
+
+
+@query("a20_shared_finish", "SELECT CASE WHEN bool_and(r_regionkey % 3 = 0) THEN 'complete' WHEN bool_or(r_regionkey % 3 = 0) THEN 'partial' ELSE 'blocked' END AS status, CAST(count(*) FILTER (r_regionkey % 3 = 0) AS BIGINT) AS applied, CAST(count(*) FILTER (r_regionkey % 3 = 1) AS BIGINT) AS blocked, CAST(count(*) FILTER (r_regionkey % 3 = 2) AS BIGINT) AS skipped FROM region")
+def a20_shared_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("r_regionkey") % 3
+    return federation.finish_status(read_table(spark, sf_dir, "region").select(F.when(k == 0, "applied").when(k == 1, "blocked").otherwise("skipped").alias("status")))
+
+
+@query(
+    "j20_scope_result",
+    """WITH b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS v FROM part WHERE p_partkey % 11 <> 0), c AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS v FROM part),
+ d AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN 'x' WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS v FROM part WHERE p_partkey % 2 = 0)
+SELECT 'p' || coalesce(b.k, d.k) AS path, CASE WHEN b.k IS NULL THEN 'outside' WHEN b.v IS DISTINCT FROM c.v AND d.k IS NULL THEN 'missing' WHEN b.v IS NOT DISTINCT FROM c.v THEN 'unchanged' ELSE 'mismatched' END AS outcome
+FROM b LEFT JOIN c ON b.k = c.k FULL JOIN d ON d.k = b.k WHERE b.k IS NULL OR (b.v IS DISTINCT FROM c.v AND (d.k IS NULL OR c.v IS DISTINCT FROM d.v)) OR (b.v IS NOT DISTINCT FROM c.v AND d.k IS NOT NULL)""",
+)
+def j20_scope_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, k = read_table(spark, sf_dir, "part"), F.col("p_partkey")
+    now = F.when(k % 3 == 0, F.col("p_type")).otherwise(F.col("p_name"))
+    table = lambda df, v: df.select(F.concat(F.lit("p"), k.cast("string")).alias("path"), v.alias("sha256"))
+    return governance.scope_result(table(part.where(k % 11 != 0), F.when(k % 5 != 0, F.col("p_name"))), table(part, now), table(part.where(k % 2 == 0), F.when(k % 7 == 0, "x").otherwise(now)))
+
+
+@query("j18_source_diff", "SELECT n_name AS source, CASE WHEN n_nationkey % 5 = 0 THEN 'removed' WHEN n_nationkey % 5 = 1 THEN 'added' ELSE 'changed' END AS change FROM nation WHERE n_nationkey % 5 < 3")
+def j18_source_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey")
+    base = read_table(spark, sf_dir, "nation").select(k, F.col("n_name").alias("source"), F.lit("d").alias("digest"), F.lit("p").alias("policy"), F.lit("available").alias("state"), F.lit(1).alias("documents"))
+    return snapshots.source_changes(base.where(k % 5 != 1), base.where(k % 5 != 0).withColumn("documents", F.when(k % 5 == 2, 2).otherwise(F.col("documents"))))
+
+
+@query(
+    "g14_federated_references",
+    """SELECT 'beta::NAT-' || c_nationkey AS start, 'alpha::CUST-' || c_custkey AS address, r AS relation, 1 AS distance FROM customer, (VALUES ('depends_on'), ('related')) AS v(r)
+UNION ALL SELECT DISTINCT 'beta::NAT-' || c_nationkey, 'alpha::ORD-' || o_orderkey, 'derived_from', 2 FROM customer JOIN orders ON o_custkey = c_custkey""",
+)
+def g14_federated_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by address and relation, backwards from every nation of another source."""
+    c, o = read_table(spark, sf_dir, "customer"), read_table(spark, sf_dir, "orders")
+    name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
+    edge = lambda df, src, dst, rel: df.select(src.alias("src"), dst.alias("dst"), F.lit(rel).alias("relation"), F.lit("authored").alias("authority"), F.lit("metadata").alias("origin"))
+    outer = [edge(c, name("alpha::CUST-", "c_custkey"), name("beta::NAT-", "c_nationkey"), r) for r in ("depends_on", "related")]
+    edges = outer[0].unionByName(outer[1]).unionByName(edge(o, name("alpha::ORD-", "o_orderkey"), name("alpha::CUST-", "o_custkey"), "derived_from"))
+    starts = read_table(spark, sf_dir, "nation").select(name("beta::NAT-", "n_nationkey").alias("start"))
+    return federation.federated_references(edges, starts, reverse=True).select("start", "address", "relation", "distance")
+
+
+@query(
+    "g17_dispositions",
+    """SELECT 'CUST-' || c_custkey AS start, 'NAT-' || c_nationkey AS address, 'read' AS disposition, CAST(1 AS BIGINT) AS n_reasons FROM customer
+UNION ALL SELECT 'CUST-' || c_custkey, 'REG-' || n_regionkey, 'read', 1 FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'CUST-' || o_custkey, 'ORD-' || o_orderkey, 'review', 2 FROM orders""",
+)
+def g17_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to read and to review before each customer's document changes."""
+    edges = _authored(spark, sf_dir).withColumn("reason", F.lit(""))
+    starts = corpus(spark, sf_dir).documents.where("doc_type = 'customer'").select(F.col("document_id").alias("start"))
+    both = [traverse.traverse_reasons(edges, starts, back).withColumn("is_reverse", F.lit(back)) for back in (False, True)]
+    return commands.dispositions(both[0].unionByName(both[1]))
+
+
+@query("v5_reachability", f"WITH {DOCS} SELECT 'no index document above' AS message, CAST(count(*) AS BIGINT) AS n FROM docs")
+def v5_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No folder of the rendered corpus has an index."""
+    return validate.reachability_issues(corpus(spark, sf_dir)).groupBy("message").agg(F.count("*").alias("n"))
+
+
+@query("v6_graph_issues", "SELECT 'customers/CUST-' || c_custkey || '.md' AS path, 'warning' AS severity, 'dead-reference' AS category FROM customer WHERE c_custkey % 5 = 0")
+def v6_graph_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validate.graph_issues(corpus(spark, sf_dir)).select("path", "severity", "category")
+
+
+@query(
+    "v10_plan_violations",
+    """WITH m AS (SELECT c_custkey AS k, CAST(c_nationkey AS VARCHAR) AS program_id, 'm' || c_custkey AS milestone FROM customer)
+SELECT program_id, milestone, 'invalid-title' AS code FROM m WHERE k % 10 = 0 UNION ALL SELECT program_id, milestone, 'invalid-priority' FROM m WHERE k % 9 = 0
+UNION ALL SELECT program_id, milestone, c FROM m, (VALUES ('self-prerequisite'), ('prerequisite-cycle')) AS v(c) WHERE k % 13 = 0
+UNION ALL SELECT program_id, milestone, 'unknown-prerequisite' FROM m WHERE k % 17 = 0 AND k % 13 <> 0
+UNION ALL SELECT program_id, milestone, CASE k % 4 WHEN 0 THEN 'document-only-source-contract' WHEN 1 THEN 'unknown-source-document' WHEN 2 THEN 'unknown-source-anchor' END FROM m WHERE k % 4 < 3""",
+)
+def v10_plan_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    key = F.concat(F.lit("m"), k.cast("string"))
+    needs = F.when(k % 13 == 0, F.array(key)).when(k % 17 == 0, F.array(F.lit("lost"))).otherwise(F.array().cast("array<string>"))
+    contract = F.when(k % 4 == 0, "CUST-1").when(k % 4 == 1, "DOC-9#x").when(k % 4 == 2, "CUST-1#nowhere").otherwise("CUST-1#contact")
+    own = read_table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").cast("string").alias("program_id"), key.alias("milestone"), F.when(k % 10 != 0, "T").otherwise("").alias("title"), (k + 1).alias("ord"), F.when(k % 9 == 0, 0).otherwise(1).cast("long").alias("priority"),
+        F.lit("planned").alias("authored_state"), none.alias("roadmap_id"), needs.alias("prerequisites"), F.array(contract).alias("source_contracts"), none.alias("waiting_for"), none.alias("reopen_when"),
+    )
+    c = corpus(spark, sf_dir)
+    return program.plan_violations(own, c.documents, c.headings)
+
+
+@query("k1_generation_edges", ORACLE_SQL["g2_edges"])
+def k1_generation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges read back from a generation equal those resolved afresh."""
+    c, root = corpus(spark, sf_dir), f"{shared_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
+    found = snapshots.read_generation(spark, root, snapshots.write_generation(c, root), "edges")
+    return found.groupBy("relation", "authority").agg(F.count("*").alias("n"))

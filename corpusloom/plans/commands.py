@@ -100,6 +100,16 @@ def completeness(boundaries: DataFrame, reverse: bool) -> DataFrame:
     return boundaries.agg(observed.alias("o")).select(F.explode(F.create_map(F.lit("authored"), F.lit("complete"), F.lit("observed"), F.col("o"), F.lit("generated"), F.lit("not-enumerated"))).alias("authority", "state"))
 
 
+def dispositions(found: DataFrame) -> DataFrame:
+    """(start, address, disposition, n_reasons): read what is depended on, review the rest.
+
+    ``found`` has the reasons of both directions, with ``is_reverse``.
+    """
+    own = found.where("authority <> 'generated'")
+    must = F.bool_or(~F.col("is_reverse") & (F.col("authority") == "authored") & (F.col("relation") == "depends_on"))
+    return own.groupBy("start", "address").agg(F.when(must, "read").otherwise("review").alias("disposition"), F.countDistinct("distance", "is_reverse", "relation", "authority", "origin", "reason", "path").alias("n_reasons"))
+
+
 def change_plan(corpus: Corpus, address: str, reverse: bool = False, transitive: bool = False) -> Result:
     """What to read and what to review before a change, with every reason."""
     find_document(corpus, address.split("#")[0])
