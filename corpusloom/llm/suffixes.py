@@ -24,10 +24,9 @@ from functools import cmp_to_key
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.arrays import _BASE, PrefixHash, byte_view, column, gather, mixed, pieces, sliding_min, union_ranges
-from corpusloom.llm.packing import MOST, Strings, blob_rows, blobs_of, bucket_count, keyed, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket
+from corpusloom.llm.packing import MOST, Strings, blob_rows, blobs_of, bucket_count, in_blocks, keyed, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
 
 GRAM = 41
 _ALL = (1 << 64) - 1
@@ -200,7 +199,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        texts = left.column("text").cast(pa.binary()).to_pylist()
+        texts = unpacked_texts(left)
         row, a, b = row_ranges(numbers(left.column("_key"), 0), blobs_of(right))
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         for i, text in enumerate(texts):
@@ -218,9 +217,8 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
 
     packed = docs.mapInArrow(split, "bucket long, blob binary")
     ranges = packed.groupBy("bucket").applyInArrow(sort, "block long, blob binary")
-    placed = docs.withColumn("block", F.pmod("_key", F.lit(buckets)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return placed.groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_blocks(docs, buckets).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(documents: list[tuple[object, str | None]], length: int = 400) -> list[tuple[object, int, int, int, bytes]]:
