@@ -153,8 +153,9 @@ def gather(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     sizes = ends - starts
     offsets = np.zeros(len(sizes) + 1, np.int64)
     np.cumsum(sizes, out=offsets[1:])
-    at = np.arange(offsets[-1], dtype=np.int64)
-    at += np.repeat(starts - offsets[:-1], sizes)
+    kind = np.int32 if max(len(data), offsets[-1]) < 1 << 31 else np.int64  # half the memory
+    at = np.arange(offsets[-1], dtype=kind)
+    at += np.repeat((starts - offsets[:-1]).astype(kind), sizes)
     return data[at], offsets
 
 
