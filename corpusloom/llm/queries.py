@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontaminate, licenses, media, mixing, neardup, pii, substring, suffixes, tokencount, toxicity
+from corpusloom.llm import decontaminate, licenses, media, mixing, neardup, oracle, pii, substring, suffixes, tokencount, toxicity
 from corpusloom.plans.session import read_table
 
 
@@ -89,4 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": oracle.DECONTAMINATE,
+    "op2_substring": oracle.SUBSTRING,
+    "op10_minhash": oracle.NEAR_DUPLICATES,
+}
