@@ -297,11 +297,11 @@ def a4_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a6_orphans",
-    "SELECT 'CUST-' || c_custkey AS document_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "SELECT 'CUST-' || c_custkey AS document_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'NAT-' || n_nationkey FROM nation",
 )
 def a6_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order, when only orders' relations count as edges."""
-    docs = corpus(spark, sf_dir).documents.where("doc_type IN ('customer', 'order')")
+    """Nations, and customers without an order, when only orders' relations count as edges."""
+    docs = corpus(spark, sf_dir).documents.where("doc_type IN ('customer', 'nation', 'order')")
     return analytics.orphans(docs, _authored(spark, sf_dir).where("relation <> 'depends_on'"))
 
 
