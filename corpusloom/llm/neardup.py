@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = materialize(map_text(plain, ["doc_id"], SET_FIELDS, _sets), "sets")
     linkable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    owners = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    named = linkable.join(owners, "set_key").where("doc_id = node").select("node", F.col("n_shingles").alias("n"), "signature")
+    owners = materialize(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node")), "owners")
+    named = linkable.withColumn("node", F.col("doc_id")).join(owners, ["set_key", "node"]).select("node", F.col("n_shingles").alias("n"), "signature")
     classes = materialize(named.dropDuplicates(["node", "signature"]), "classes")
 
     near = materialize(neighboured(classes), "near")
@@ -229,7 +229,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = materialize(confirmed(candidate_pairs(labelled, TREES, regions=True), texts), "links")
     final = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 
-    grouped = owners.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    # written, so that a join with many copies of one set may split them over tasks
+    grouped = materialize(owners.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "grouped")
     return (
         sets.select("doc_id", "n_shingles", "set_key")
         .join(grouped, "set_key", "left")
