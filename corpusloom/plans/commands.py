@@ -171,11 +171,11 @@ def context(corpus: Corpus, document_id: str, depth: int = 1, include_related: b
 
 
 def packet_stats(packet: dict[str, DataFrame], corpus: Corpus) -> DataFrame:
-    """Documents, sections and bytes of a packet, and its share of all bytes."""
+    """Bytes of a packet's texts, of the corpus, and their ratio."""
     size = packet["documents"].select(F.octet_length("navigation").alias("b")).unionAll(packet["sections"].select(F.octet_length("content").alias("b")))
-    whole = corpus.parsed.agg(F.sum(F.octet_length("content")).alias("corpus_bytes"))
-    own = size.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("packet_bytes"))
-    return own.crossJoin(whole).withColumn("share", F.col("packet_bytes") / F.col("corpus_bytes"))  # a row by a row
+    whole = corpus.parsed.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    own = size.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("packet_bytes"), F.lit(whole).alias("corpus_bytes"))
+    return own.withColumn("share", F.try_divide("packet_bytes", "corpus_bytes"))
 
 
 def impact(corpus: Corpus, document_id: str) -> Result:
