@@ -96,7 +96,7 @@ def forest_order(classes: DataFrame, trees: int) -> DataFrame:
     size = 4 * DEPTH
     parts = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("signature", 1 + size * t, size).alias("values")) for t in range(trees)))
     rows = classes.select(F.explode(parts).alias("r"), "node", "n", "component").select("r.tree", "r.values", "node", "n", "component")
-    return rows.repartitionByRange(shuffle_partitions(classes.sparkSession), "tree", "values").sortWithinPartitions("tree", "values", "node")
+    return rows.repartitionByRange(shuffle_partitions(classes.sparkSession), "tree", "values", "node").sortWithinPartitions("tree", "values", "node")
 
 
 def candidates(tree: np.ndarray, values: np.ndarray, component: np.ndarray, regions: bool) -> tuple[np.ndarray, np.ndarray]:
