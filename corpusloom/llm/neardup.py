@@ -6,15 +6,14 @@ minimum hashes; each run, a tree, sorts all classes by its values. Classes that
 a long prefix lie side by side, so candidates are
 
 1. neighbours in the order of a few trees that share ``START`` values at least; their
-   confirmed links already join what is dense, then
-2. in all trees, neighbours of different components, and all pairs of different
-   components in a region. A region is a run of classes that share ``START`` values; where it
-   is longer than ``REGION`` it is split by the next value, as deep as needed. What
-   is longer at full depth has its neighbours of other components as candidates.
+   confirmed links already join what is dense, and only save work, then
+2. all pairs of different components in a run, that is, of classes that share the first
+   ``START`` values of a tree, in all trees. Runs of more than ``REGION`` classes are cut
+   into chunks, and every two chunks of a run meet in a task of their own.
 
 A pair of similarity 0.85 shares 4 values of a tree with probability 0.52, and misses
 that in all 16 trees with probability 1e-5. Links are confirmed on the full sets.
-Copies never become pairs, and sorting is by range, so a dense region spreads over tasks.
+Copies never become pairs, and a dense run spreads over tasks.
 
 Edge cases: null or empty text has an empty set and links with nothing; fewer than
 five words are one shingle; rows of one doc_id are one document; a row without doc_id
@@ -29,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
@@ -41,6 +40,8 @@ SHINGLE = 5
 TREES, DEPTH, START = 16, 8, 4
 FIRST_TREES = 2
 REGION = 32
+#: Shingles, and as many as ``CHUNK_ROW`` more a class, of a chunk of a longer run.
+CHUNK, CHUNK_ROW = 200_000, 64
 _MULTIPLIERS = mixed(np.arange(1, TREES * DEPTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -92,43 +93,25 @@ def _sets(batch: pa.RecordBatch) -> dict[str, object]:
 
 
 def forest_order(classes: DataFrame, trees: int) -> DataFrame:
-    """(tree, values, node, n, component) of every class and tree, in the trees' orders."""
+    """(tree, values, node, n) of every class and tree, in the trees' orders."""
     size = 4 * DEPTH
     parts = F.array(*(F.struct(F.lit(t).alias("tree"), F.substring("signature", 1 + size * t, size).alias("values")) for t in range(trees)))
-    rows = classes.select(F.explode(parts).alias("r"), "node", "n", "component").select("r.tree", "r.values", "node", "n", "component")
+    rows = classes.select(F.explode(parts).alias("r"), "node", "n").select("r.tree", "r.values", "node", "n")
     return rows.repartitionByRange(shuffle_partitions(classes.sparkSession), "tree", "values", "node").sortWithinPartitions("tree", "values", "node")
 
 
-def candidates(tree: np.ndarray, values: np.ndarray, component: np.ndarray, regions: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows in order that may link; see the module's text."""
-    n = len(tree)
-    if n < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    same = (values[1:] == values[:-1]) & (tree[1:] == tree[:-1])[:, None]
-    common = np.concatenate([[0], np.cumprod(same, 1).sum(1)])
-    side = np.flatnonzero(common >= START)
-    left, right = [side - 1], [side]
-    if regions:
-        open_rows = np.ones(n, bool)  # not yet in a region that is short enough
-        for depth in range(START, DEPTH + 1):
-            begins = np.flatnonzero(common < depth)
-            sizes = np.diff(np.append(begins, n))
-            chosen = (sizes > 1) & (sizes <= REGION) & open_rows[begins]
-            begins, sizes = begins[chosen], sizes[chosen]
-            at, _ = gather(np.arange(n), begins, begins + sizes)
-            open_rows[at] = False
-            for gap in range(1, int(sizes.max(initial=1))):
-                own = sizes > gap
-                a, _ = gather(np.arange(n), begins[own], begins[own] + sizes[own] - gap)
-                left.append(a)
-                right.append(a + gap)
-    a, b = np.concatenate(left), np.concatenate(right)
-    apart = component[a] != component[b]
-    return a[apart], b[apart]
-
-
-def candidate_pairs(classes: DataFrame, trees: int, regions: bool) -> DataFrame:
-    """Distinct (a, b) of classes of different components, of sizes that allow a link."""
+def candidates(tree: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of neighbours in order that share ``START`` values."""
+    same = (tree[1:] == tree[:-1]) & (values[1:, :START] == values[:-1, :START]).all(1)
+    left = np.flatnonzero(same)
+    return left, left + 1
+
+
+def candidate_pairs(classes: DataFrame, trees: int) -> DataFrame:
+    """Distinct (a, b) of neighbouring classes, of sizes that allow a link.
+
+    Neighbours on two sides of a partition's edge do not meet; see ``run_links``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [x for x in batches if x.num_rows]
@@ -139,7 +122,7 @@ def candidate_pairs(classes: DataFrame, trees: int, regions: bool) -> DataFrame:
         values = data.reshape(-1, 4 * DEPTH).view(">u4")
         number = lambda c: table.column(c).to_numpy()
         node, size = number("node"), number("n")
-        a, b = candidates(number("tree"), values, number("component"), regions)
+        a, b = candidates(number("tree"), values)
         fits = 100 * np.minimum(size[a], size[b]) >= 85 * np.maximum(size[a], size[b])
         pairs = np.unique(np.stack([np.minimum(node[a], node[b])[fits], np.maximum(node[a], node[b])[fits]], 1), axis=0)
         pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -162,7 +145,7 @@ def neighboured(classes: DataFrame) -> DataFrame:
             near = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(table.column("node").to_numpy()[near]))], names=["id"])
 
-    return forest_order(classes.withColumn("component", F.col("node")), TREES).mapInArrow(run, "id long").distinct()
+    return forest_order(classes, TREES).mapInArrow(run, "id long").distinct()
 
 
 def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -210,6 +193,80 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 85 * (len(a) + len(b) - shared)
 
 
+def run_keys() -> Column:
+    """Of every tree, a number for its first ``START`` values.
+
+    Runs whose numbers collide are one run, whose pairs are confirmed as all others.
+    """
+    return F.array(*(F.xxhash64(F.lit(t), F.substring("signature", 1 + 4 * DEPTH * t, 4 * START)) for t in range(TREES)))
+
+
+def run_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join all components between which a run has a link.
+
+    ``classes`` has node, n, signature and component. Every pair of different components
+    in a run is confirmed or refused, or its components are joined by other links.
+    """
+    keyed = materialize(classes.select("node", "n", "component", run_keys().alias("keys")), "keyed")
+    rows = keyed.select(F.explode("keys").alias("key"), "node", "n", "component")
+    runs = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    open_rows = materialize(rows.join(runs.select("key", "m"), "key"), "runs")
+    x, y = (open_rows.where(F.col("m") <= REGION).select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component"))) for s in "xy")
+    fits = 100 * F.least("n_x", "n_y") >= 85 * F.greatest("n_x", "n_y")
+    met = x.join(y, "key").where((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & fits)
+    short = confirmed(met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct(), texts)
+
+    # by component first, so that chunks of one component need not meet
+    by = Window.partitionBy("key").orderBy("component", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    longer = open_rows.where(F.col("m") > REGION).groupBy("key", "node").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    chunk = F.floor(F.sum(F.col("n") + CHUNK_ROW).over(by) / CHUNK)
+    placed = materialize(longer.select("key", "node", "component", chunk.alias("chunk")), "chunks")
+    if placed.isEmpty():
+        return short
+    ends = placed.groupBy("key", "chunk").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    p, q = (ends.select("key", F.col("chunk").alias(c), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}")) for c in ("i", "j"))
+    meetings = p.join(q, "key").where((F.col("i") <= F.col("j")) & (F.least("lo_i", "lo_j") < F.greatest("hi_i", "hi_j")))
+    sent = meetings.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk")).join(placed, ["key", "chunk"])
+    full = sent.join(keyed.select("node", "keys"), "node").join(texts.withColumnRenamed("id", "node"), "node")
+    return short.unionByName(full.groupBy("key", "i", "j").applyInArrow(meeting_links, "a long, b long"))
+
+
+def meeting_links(table: pa.Table) -> pa.Table:
+    """Links between two chunks of a run, or within one; each joins two components.
+
+    A pair that shares several runs is left to that of the smallest key.
+    """
+    table = table.sort_by("chunk").combine_chunks()
+    number = lambda c: table.column(c).to_numpy()
+    key, chunk, node = number("key")[0], number("chunk"), number("node")
+    _, label = np.unique(number("component"), return_inverse=True)
+    keys = np.array(table.column("keys").to_pylist(), np.int64)
+    d = zstandard.ZstdDecompressor()
+    raws = [d.decompress(t) for t in table.column("packed").to_pylist()]
+    hashes, offsets = shingle_sets(np.frombuffer(b"".join(raws), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64))
+    values, ids = np.unique(hashes, return_inverse=True)
+    sizes, marked = np.diff(offsets), np.zeros(len(values), bool)
+    n, second = len(node), int(np.searchsorted(chunk, chunk[-1]))
+    within = second == 0
+    left, right = [], []
+    for a in range(n if within else second):
+        low = a + 1 if within else second
+        b = low + np.flatnonzero((label[low:] != label[a]) & (100 * np.minimum(sizes[low:], sizes[a]) >= 85 * np.maximum(sizes[low:], sizes[a])))
+        b = b[(np.where(keys[b] == keys[a], keys[b], np.iinfo(np.int64).max).min(1) == key) & (sizes[b] > 0)]
+        if not len(b) or not sizes[a]:
+            continue
+        marked[ids[offsets[a] : offsets[a + 1]]] = True
+        at, ends = gather(ids, offsets[b], offsets[b + 1])
+        shared = np.add.reduceat(marked[at], ends[:-1], dtype=np.int64)
+        marked[ids[offsets[a] : offsets[a + 1]]] = False
+        b = b[100 * shared >= 85 * (sizes[a] + sizes[b] - shared)]
+        joined, one = np.unique(label[b], return_index=True)
+        left += [node[a]] * len(one)
+        right += node[b[one]].tolist()
+        label[np.isin(label, joined)] = label[a]
+    return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -222,11 +279,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = materialize(neighboured(classes), "near")
     texts = materialize(packed_texts(plain, near), "texts")
     active = classes.join(near.withColumnRenamed("id", "node"), "node", "left_semi")
-    lone = active.withColumn("component", F.col("node"))
-    links = materialize(confirmed(candidate_pairs(lone, FIRST_TREES, regions=False), texts), "links")
+    links = materialize(confirmed(candidate_pairs(active, FIRST_TREES), texts), "links")
     found = materialize(connected_components(links), "components")
     labelled = active.join(found, "node", "left").select("node", "n", "signature", F.coalesce("component", "node").alias("component"))
-    more = materialize(confirmed(candidate_pairs(labelled, TREES, regions=True), texts), "links")
+    more = materialize(run_links(labelled, texts), "links")
     final = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 
     # written, so that a join with many copies of one set may split them over tasks

@@ -70,6 +70,22 @@ def test_dense_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_star(spark):
+    """Three hundred copies that are near one original only, and not near each other."""
+    base = [f"s{i}" for i in range(400)]
+    rows = [(5000, " ".join(base))]
+    for i in range(300):
+        own, rng = list(base), np.random.default_rng(i)
+        start = int(rng.integers(0, 35))
+        for k in range(6):
+            own[start + 60 * k + int(rng.integers(0, 20))] = f"e{i}_{k}"
+        rows.append((i, " ".join(own)))
+    want = neardup.brute_force(rows)
+    assert sum(c == 0 for _, c, _ in want.values()) > 250
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
+
+
 def test_empty_and_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring.substring_dedup(none).count() == suffixes.suffix_dedup(none).count() == neardup.near_duplicates(none).count() == 0
