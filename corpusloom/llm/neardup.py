@@ -132,20 +132,19 @@ def candidate_pairs(classes: DataFrame, trees: int) -> DataFrame:
     return forest_order(classes, trees).mapInArrow(run, "a long, b long").distinct()
 
 
-def neighboured(classes: DataFrame) -> DataFrame:
-    """(id) of the classes that share ``START`` values of some tree with another."""
+def run_keys() -> Column:
+    """Of every tree, a number for its first ``START`` values.
+
+    Runs whose numbers collide are one run, whose pairs are confirmed as all others.
+    """
+    return F.array(*(F.xxhash64(F.lit(t), F.substring("signature", 1 + 4 * DEPTH * t, 4 * START)) for t in range(TREES)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [x for x in batches if x.num_rows]
-        if parts:
-            table = pa.Table.from_batches(parts).combine_chunks()
-            values = byte_view(table.column("values").chunk(0))[0].reshape(-1, 4 * DEPTH).view(">u4")
-            tree = table.column("tree").to_numpy()
-            same = (tree[1:] == tree[:-1]) & (values[1:, :START] == values[:-1, :START]).all(1)
-            near = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(table.column("node").to_numpy()[near]))], names=["id"])
 
-    return forest_order(classes, TREES).mapInArrow(run, "id long").distinct()
+def neighboured(classes: DataFrame) -> DataFrame:
+    """(id) of the classes that share ``START`` values of some tree with another."""
+    keys = classes.select(F.explode(run_keys()).alias("key"), "node")
+    runs = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    return keys.join(runs, "key", "left_semi").select(F.col("node").alias("id")).distinct()
 
 
 def packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -193,14 +192,6 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 85 * (len(a) + len(b) - shared)
 
 
-def run_keys() -> Column:
-    """Of every tree, a number for its first ``START`` values.
-
-    Runs whose numbers collide are one run, whose pairs are confirmed as all others.
-    """
-    return F.array(*(F.xxhash64(F.lit(t), F.substring("signature", 1 + 4 * DEPTH * t, 4 * START)) for t in range(TREES)))
-
-
 def run_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links that join all components between which a run has a link.
 

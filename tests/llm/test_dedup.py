@@ -70,6 +70,23 @@ def test_dense_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
 
 
+def test_more_partitions_than_rows(spark):
+    """Pairs of near-duplicates, in far more partitions than there are rows."""
+    rows = []
+    for i in range(4):
+        own = [f"w{i}_{k}" for k in range(300)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join([*own[:-1], "other"]))]
+    want = neardup.brute_force(rows)
+    assert sum(not kept for _, _, kept in want.values()) == 4
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_star(spark):
     """Three hundred copies that are near one original only, and not near each other."""
     base = [f"s{i}" for i in range(400)]
