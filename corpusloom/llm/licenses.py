@@ -8,7 +8,11 @@ ends. A template's coverage is the share of its words that are aligned.
 A long text may hold a template anywhere, and a word that is unique in a template may
 be frequent in a long text. So a template is aligned within stretches of the text: the
 places where ``GRAM`` words of it occur in a row, no farther apart than the template
-is long, with a template's length on either side. A text without any such place holds
+is long, with a template's length on either side. Where the grams' places in the template
+fall back, the template may stand again; a stretch is aligned in the parts between such
+places too. Parts that hold more than half of the template are copies of it; where two
+are, a better coverage of the whole stretch is one more match. Else it takes the place of
+the parts that it overlaps. A text without any such place holds
 no run of ``GRAM`` words of any template, and nothing is aligned.
 
 Edge cases: null or empty text has no license; repeated rows each get a row; texts may
@@ -17,7 +21,7 @@ have any length; of templates with equal coverage the first by name is reported.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import ahocorasick
@@ -93,9 +97,12 @@ class Scanner:
         self.gram = gram
         self.words = {name: normalised(t.encode()).split() for name, t in sorted(templates.items())}
         self.grams: dict[bytes, list[str]] = {}
+        self.at: dict[tuple[str, bytes], list[int]] = {}
         for name, own in self.words.items():
             for i in range(len(own) - gram + 1):
-                names = self.grams.setdefault(b" ".join(own[i : i + gram]), [])
+                g = b" ".join(own[i : i + gram])
+                self.at.setdefault((name, g), []).append(i)
+                names = self.grams.setdefault(g, [])
                 if name not in names:
                     names.append(name)
         self.search = ahocorasick.Automaton()
@@ -104,9 +111,9 @@ class Scanner:
         if self.grams:
             self.search.make_automaton()
 
-    def places(self, plain: bytes) -> dict[str, list[int]]:
-        """Numbers of words at which a gram of each template begins."""
-        out: dict[str, list[int]] = {}
+    def places(self, plain: bytes) -> dict[str, list[tuple[int, bytes]]]:
+        """Numbers of words at which a gram of each template begins, and the grams."""
+        out: dict[str, list[tuple[int, bytes]]] = {}
         if not self.grams or not plain:
             return out
         framed, words, at = f" {plain.decode('latin-1')} ", 0, 0
@@ -114,7 +121,21 @@ class Scanner:
             words += framed.count(" ", at, end)  # of the gram's last word, counted from 1
             at = end
             for name in self.grams[gram]:
-                out.setdefault(name, []).append(words - self.gram)
+                out.setdefault(name, []).append((words - self.gram, gram))
+        return out
+
+    def parts(self, name: str, own: list[tuple[int, bytes]]) -> list[list[int]]:
+        """A stretch's places, cut where the places in the template fall back."""
+        out: list[list[int]] = []
+        last = len(self.words[name])
+        for place, gram in own:
+            at = self.at[name, gram]
+            k = bisect_right(at, last)
+            if k == len(at):
+                out.append([])
+                k = 0
+            last = at[k]
+            out[-1].append(place)
         return out
 
     def scan(self, plain: bytes) -> list[tuple[str, float, int, int, int]]:
@@ -124,19 +145,45 @@ class Scanner:
             return []
         words, out = plain.split(), []
         for name, own in places.items():
-            template = self.words[name]
-            size, at = len(template), 0
+            size, at = len(self.words[name]), 0
             while at < len(own):
                 to = at + 1
-                while to < len(own) and own[to] - own[to - 1] <= size:
+                while to < len(own) and own[to][0] - own[to - 1][0] <= size:
                     to += 1
-                low, high = max(0, own[at] - size), min(len(words), own[to - 1] + self.gram + size)
-                pairs = align(words[low:high], template)
-                if pairs:
-                    out.append((name, len(pairs) / size, len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1))
+                out += self.stretch(name, words, own[at:to])
                 at = to
         return sorted(out, key=lambda x: (-x[1], x[0], x[3]))
 
+    def stretch(self, name: str, words: list[bytes], own: list[tuple[int, bytes]]) -> list[tuple[str, float, int, int, int]]:
+        """Matches of one stretch; none overlap but that of a stretch of several copies."""
+        template = self.words[name]
+        size = len(template)
+
+        def match(low: int, high: int) -> list[tuple[str, float, int, int, int]]:
+            pairs = align(words[low:high], template)
+            return [(name, len(pairs) / size, len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1)] if pairs else []
+
+        low, high = max(0, own[0][0] - size), min(len(words), own[-1][0] + self.gram + size)
+        parts = self.parts(name, own)
+        if len(parts) == 1:
+            return match(low, high)
+        found = []
+        for i, part in enumerate(parts):
+            begin = min(part[0], max(low, part[0] - size, parts[i - 1][-1] + self.gram if i else 0))
+            end = min(high, part[-1] + self.gram + size, parts[i + 1][0] if i + 1 < len(parts) else high)
+            found += match(begin, max(end, part[-1] + self.gram))
+        whole, several = match(low, high), sum(2 * f[2] > size for f in found) > 1
+        if not several:
+            found += whole
+        out: list[tuple[str, float, int, int, int]] = []
+        taken: list[Pair] = []  # in order, apart
+        for f in sorted(found, key=lambda x: (-x[1], x[4] - x[3], x[3])):
+            k = bisect_left(taken, (f[3], f[4]))
+            if (k == 0 or taken[k - 1][1] <= f[3]) and (k == len(taken) or f[4] <= taken[k][0]):
+                taken.insert(k, (f[3], f[4]))
+                out.append(f)
+        return out + [w for w in whole if several and w[1] > out[0][1]]
+
 
 MATCH = StructType([StructField("license", StringType()), StructField("coverage", DoubleType()), StructField("start", LongType()), StructField("end", LongType())])
 FIELDS = [

@@ -188,6 +188,20 @@ def test_tokens_restart(monkeypatch):
     assert tokencount.count_tokens([text], tokencount.Transducer(tokencount.Merges(file))) == want
 
 
+def test_repeated_licenses():
+    """Copies of a template close to each other, in the middle of a text, are matches each."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("mit", "cc-by-4.0", "mit-notice"):
+        own = licenses.normalised(licenses.TEMPLATES[name].encode())
+        size = own.count(b" ") + 1
+        for between in (b"", b" x y z"):
+            for n in (1, 2, 3):
+                text = b"some words before " + b" ".join([own + between] * n) + b" and some after"
+                step = size + between.count(b" ")
+                found = [f for f in scanner.scan(text) if f[0] == name]
+                assert found == [(name, 1.0, size, 3 + step * i, 3 + step * i + size) for i in range(n)]
+
+
 def test_licenses(spark):
     apache = licenses.TEMPLATES["apache-2.0-notice"]
     texts = [None, "", "plain words", "Released under the MIT License.", "# " + apache.replace("may not", "can not").replace(",", " ;"), "released under the " + "x " * 40 + "MIT license", "w " * 5000 + apache + " w" * 5000]
