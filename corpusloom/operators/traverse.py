@@ -6,10 +6,13 @@ shared storage, so neither lineage nor a lost executor makes work repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.plans.session import materialize
+from corpusloom.plans.session import materialize, ship, shuffle_partitions
 
 
 def directed(edges: DataFrame, reverse: bool) -> DataFrame:
@@ -111,7 +114,8 @@ def cycles(edges: DataFrame, by: str = "relation", most: int = CORE_EDGES) -> Da
     """(relation, members): strongly connected sets of several nodes, and self loops.
 
     ``edges`` has src, dst and ``by``. An acyclic graph is trimmed to nothing at once;
-    a core of at most ``most`` edges is solved on the driver, a larger one by closure.
+    a core of at most ``most`` edges is solved on the driver. In a larger one each task first
+    contracts the sets within its edges, round by round; what stays large goes by closure.
     """
     keyed = edges.select(F.struct(F.col(by).alias("k"), F.col("src").alias("n")).alias("a"), F.struct(F.col(by).alias("k"), F.col("dst").alias("n")).alias("b"))
     core = cyclic_core(keyed)
@@ -121,10 +125,57 @@ def cycles(edges: DataFrame, by: str = "relation", most: int = CORE_EDGES) -> Da
             graph.setdefault((r.a.k, r.a.n), []).append((r.b.k, r.b.n))
         rows = [(own[0][0], sorted(n for _, n in own)) for own in strong_components(graph)]
         return edges.sparkSession.createDataFrame(rows, f"{by} string, members array<string>")
+    loops = core.where("a = b").select("a", F.col("a").alias("m"))
+    names = loops.limit(0)
+    while core.count() > most:
+        found = materialize(_local_labels(core), "labels")
+        if found.isEmpty():
+            break
+        core = materialize(_relabelled(_relabelled(core, "a", found), "b", found).where("a <> b").distinct(), "core")
+        fresh = found.join(names.select("a"), "a", "left_anti")
+        names = materialize(_relabelled(names, "m", found).unionByName(fresh), "names")
+    last = materialize(_labels(core, most), "labels")
+    alone = loops.unionByName(last.select("a", F.col("a").alias("m"))).distinct().join(names.select("a"), "a", "left_anti")
+    label = _relabelled(names.unionByName(alone), "m", last)
+    return label.groupBy("m").agg(F.sort_array(F.collect_set("a.n")).alias("members")).select(F.col("m.k").alias(by), "members")
+
+
+def _relabelled(rows: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``rows`` with the nodes of ``column`` replaced by their labels (a, m), if they have one."""
+    to = labels.select(F.col("a").alias(column), F.col("m").alias("_label"))
+    return rows.join(to, column, "left").withColumn(column, F.coalesce("_label", column)).select(*rows.columns)
+
+
+def _local_labels(core: DataFrame) -> DataFrame:
+    """(a, m): nodes of sets that edges of one partition connect strongly, and the least node."""
+    ship(core.sparkSession)
+    kind = core.schema["a"].dataType.simpleString()
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph: dict[tuple, list[tuple]] = {}
+        for batch in frames:
+            for r in batch.to_pylist():
+                graph.setdefault((r["a"]["k"], r["a"]["n"]), []).append((r["b"]["k"], r["b"]["n"]))
+        pair = lambda x: {"k": x[0], "n": x[1]}
+        rows = [{"a": pair(x), "m": pair(min(own))} for own in strong_components(graph) if len(own) > 1 for x in own]
+        for at in range(0, len(rows), 50_000):
+            yield pa.RecordBatch.from_pylist(rows[at : at + 50_000])
+
+    return core.repartitionByRange(shuffle_partitions(core.sparkSession), "a").mapInArrow(run, f"a {kind}, m {kind}")
+
+
+def _labels(core: DataFrame, most: int) -> DataFrame:
+    """(a, m): nodes on cycles of ``core`` and the least node of their strongly connected set."""
+    if core.count() <= most:
+        graph: dict[tuple, list[tuple]] = {}
+        for r in core.collect():
+            graph.setdefault((r.a.k, r.a.n), []).append((r.b.k, r.b.n))
+        kind = core.schema["a"].dataType.simpleString()
+        rows = [(x, min(own)) for own in strong_components(graph) for x in own]
+        return core.sparkSession.createDataFrame(rows, f"a {kind}, m {kind}")
     pairs = reachable_pairs(core)
     mutual = pairs.alias("x").join(pairs.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("a"), F.col("x.b").alias("b"))
-    label = mutual.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return label.groupBy("m").agg(F.sort_array(F.collect_set("a.n")).alias("members")).select(F.col("m.k").alias(by), "members")
+    return mutual.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
 
 
 def strong_components(graph: dict) -> list[list]:
