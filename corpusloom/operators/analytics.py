@@ -85,11 +85,11 @@ def health_signals(corpus: Corpus, edges: DataFrame, boundaries: DataFrame) -> D
     dead = boundaries.where("category = 'missing-anchor'").groupBy(F.col("src_doc").alias("document_id")).agg(F.count("*").alias("value"))
     parts.append(dead.select(F.lit("dead-reference").alias("code"), "document_id", "value"))
     if "weak-component" in limits:
-        parts.append(_apart(weak_components(docs, flat), limits["weak-component"]))
+        parts.append(weak_component_signal(weak_components(docs, flat), limits["weak-component"]))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _apart(components: DataFrame, most: int) -> DataFrame:
+def weak_component_signal(components: DataFrame, most: int) -> DataFrame:
     """Documents outside the largest component, if there are more than ``most``."""
     sizes = components.groupBy("component").agg(F.count("*").alias("n"))
     whole = sizes.agg(F.count("*").alias("value"), F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("largest"))

@@ -96,31 +96,31 @@ def request_hash(request: Mapping[str, Any]) -> str:
 
 
 # Intake ---------------------------------------------------------------------------
+# Conflicts by the signals that make them, and decisions by the first signal that holds.
+CONFLICTS = (
+    ("authority-conflict", ("authority_conflict",)),
+    ("incompatible-outcomes", ("incompatible_outcomes",)),
+    ("contradictory-owner-and-lifecycle", ("existing_owner_sufficient", "independent_lifecycle")),
+)
+DECISIONS = (
+    ("existing_owner_sufficient", "update-existing", "existing-owner-sufficient"),
+    ("independent_lifecycle", "create-workstream", "independent-lifecycle"),
+    (None, "create-draft", "no-sufficient-owner"),
+)
+
+
 def intake_decision(request: Mapping[str, Any], allowed: tuple[str, ...]) -> dict[str, Any]:
-    """Where an idea belongs: conflicts first, then its owner, lifecycle, or a draft."""
-    signals = request["signals"]
-    owners = [c for c in request["candidates"] if c["authority"] == "owner"]
-    clashes = {
-        "authority-conflict": signals["authority_conflict"],
-        "incompatible-outcomes": signals["incompatible_outcomes"],
-        "contradictory-placement": signals["existing_owner_sufficient"] and signals["independent_lifecycle"],
-    }
-    reasons = [name for name, present in clashes.items() if present]
-    wanted = None
-    if not reasons:
-        if signals["existing_owner_sufficient"]:
-            wanted, why = "update-existing", "existing-owner-sufficient"
-            if len(owners) != 1:
-                reasons = ["owner-evidence-ambiguous"]
-        elif signals["independent_lifecycle"]:
-            wanted, why = "create-workstream", "independent-lifecycle"
-        else:
-            wanted, why = "create-draft", "no-established-owner"
-        if not reasons and wanted not in allowed:
-            reasons = ["decision-not-authorized"]
-        if not reasons:
-            return {"decision": wanted, "reasons": [why], "requested": wanted}
-    return {"decision": "blocked", "reasons": reasons, "requested": wanted}
+    """Where an idea belongs, by the two tables; an update needs one owner candidate."""
+    holds = request["signals"].get
+    blocked = lambda reasons, wanted: {"decision": "blocked", "reasons": reasons, "requested": wanted}
+    if conflicts := [name for name, needed in CONFLICTS if all(map(holds, needed))]:
+        return blocked(conflicts, None)
+    wanted, why = next((decision, reason) for signal, decision, reason in DECISIONS if signal is None or holds(signal))
+    if wanted == "update-existing" and sum(c["authority"] == "owner" for c in request["candidates"]) != 1:
+        return blocked(["owner-evidence-ambiguous"], wanted)
+    if wanted not in allowed:
+        return blocked(["decision-not-authorized"], wanted)
+    return {"decision": wanted, "reasons": [why], "requested": wanted}
 
 
 def next_id(corpus: Corpus, prefix: str, folder: str) -> tuple[str, str]:
@@ -138,12 +138,15 @@ def next_id(corpus: Corpus, prefix: str, folder: str) -> tuple[str, str]:
 
 
 def allocation_guard(corpus: Corpus) -> str:
-    """A hash that any new, moved or revised document changes."""
+    """sha256 over the sorted lines ``id@revision:path`` of all documents with an ID.
+
+    The lines come sorted from the executors, one partition at a time, into the hash.
+    """
     row = F.concat("document_id", F.lit("@"), F.col("revision").cast("string"), F.lit(":"), "path")
-    digest = F.sha2(row, 256)
-    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
-    found = corpus.documents.where("document_id IS NOT NULL").agg(F.count("*"), *parts).first()
-    return hashlib.sha256("|".join(map(str, found)).encode()).hexdigest()
+    digest = hashlib.sha256()
+    for i, found in enumerate(corpus.documents.where("document_id IS NOT NULL").select(row.alias("line")).orderBy("line").toLocalIterator()):
+        digest.update(("\n" * (i > 0) + found.line).encode())
+    return digest.hexdigest()
 
 
 # Admission --------------------------------------------------------------------------

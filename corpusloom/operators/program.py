@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.traverse import cycles
+from corpusloom.plans.session import ship
 
 #: A roadmap document's status gives its milestone's base state.
 STATE_OF_STATUS = {
@@ -125,6 +129,70 @@ def plan_violations(milestones: DataFrame, documents: DataFrame, anchors: DataFr
     return reduce(DataFrame.unionByName, [own, unknown, ring, clash, cross, contract_violations(milestones, documents, anchors)])
 
 
+def plan_shapes(documents: DataFrame, field: str = "program_plan", owner_type: str = "roadmap") -> DataFrame:
+    """(program_id, milestone, code) of plans and milestones that have not the right form.
+
+    ``milestone`` is the one's ID, or its number where it has none; null for the plan.
+    What is no mapping or list is reported here and not seen by the other rules.
+    """
+    ship(documents.sparkSession)
+    value = F.try_element_at(F.filter("additional", lambda a: a["name"] == field), F.lit(1))
+    owners = documents.select(F.col("document_id").alias("program_id"), "doc_type", value["value_json"].alias("plan")).where("program_id IS NOT NULL AND plan IS NOT NULL")
+    schema = pa.schema([(n, pa.string()) for n in ("program_id", "milestone", "code")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{"program_id": r["program_id"], "milestone": m, "code": c} for r in batch.to_pylist() for m, c in shape_codes(json.loads(r["plan"]), r["doc_type"], owner_type)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return owners.mapInArrow(run, "program_id string, milestone string, code string")
+
+
+def shape_codes(plan: object, doc_type: str | None, owner_type: str = "roadmap") -> Iterator[tuple[str | None, str]]:
+    """(milestone or None, code): each rule is a test of one part of the plan."""
+    texts = lambda x: isinstance(x, list) and all(isinstance(v, str) and v for v in x)
+    said = lambda x: x is None or (isinstance(x, str) and bool(x.strip()))
+    whole = plan if isinstance(plan, dict) else {}
+    listed = whole.get("milestones")
+    listed = listed if isinstance(listed, list) else []
+    version = whole.get("version")
+    for holds, code in (
+        (doc_type == owner_type, "invalid-program-type"),
+        (isinstance(plan, dict), "invalid-program-plan"),
+        (set(whole) <= {"version", "milestones"}, "unknown-program-field"),
+        (type(version) is int and version == 1, "unsupported-program-version"),
+        (bool(listed), "invalid-milestones"),
+    ):
+        if not holds:
+            yield None, code
+    for place, item in enumerate(listed):
+        own = item if isinstance(item, dict) else {}
+        name = own.get("id") if isinstance(own.get("id"), str) else str(place)
+        for holds, code in (
+            (isinstance(item, dict), "invalid-milestone"),
+            (set(own) <= set(MILESTONE_KEYS), "unknown-milestone-field"),
+            (texts(own.get("prerequisites", [])), "invalid-prerequisites"),
+            (texts(own.get("source_contracts", [])), "invalid-source-contracts"),
+            (said(own.get("waiting_for")), "invalid-waiting-condition"),
+            (said(own.get("reopen_when")), "invalid-reopen-condition"),
+        ):
+            if not holds:
+                yield name, code
+
+
+def explained(states: DataFrame, milestone: str) -> DataFrame:
+    """One milestone: its state, why, what it waits for and whether it is next."""
+    first = next_work(states).select("program_id", "milestone", F.col("action").alias("next_action"))
+    reason = (
+        F.when(F.col("state") == "waiting", F.when(F.size("undelivered") > 0, "undelivered-prerequisites").otherwise("waiting-condition"))
+        .when(F.col("state") == "ready", "prerequisites-delivered")
+        .otherwise("authored-state")
+    )
+    own = states.where(F.col("milestone") == milestone)
+    return own.join(first, ["program_id", "milestone"], "left").select("program_id", "milestone", "state", reason.alias("reason"), "undelivered", "next_action")
+
+
 def contract_violations(milestones: DataFrame, documents: DataFrame, anchors: DataFrame) -> DataFrame:
     """Source contracts that are no section address, or lead to nothing."""
     rows = milestones.select("program_id", "milestone", F.explode("source_contracts").alias("c"))

@@ -204,3 +204,13 @@ def address(doc: str, anchor: str) -> Column:
 def addressed(edges: DataFrame) -> DataFrame:
     """(src, dst, relation, authority, origin, reason, pin) with addresses as text."""
     return edges.select(address("src_doc", "src_anchor").alias("src"), address("dst_doc", "dst_anchor").alias("dst"), "relation", "authority", "origin", "reason", "pin")
+
+
+def known_addresses(edges: DataFrame) -> DataFrame:
+    """(address) of every end of an addressed edge, once."""
+    return edges.select(F.explode(F.array("src", "dst")).alias("address")).distinct()
+
+
+def boundaries_from(boundaries: DataFrame, source: str) -> DataFrame:
+    """The boundaries of one address, in order."""
+    return boundaries.where(address("src_doc", "src_anchor") == source).orderBy("raw_target", "category", "reason")

@@ -8,9 +8,14 @@ pointer row names the current generation; a reader that finds it stale parses af
 from __future__ import annotations
 
 import hashlib
+import json
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.operators.resolve import addressed, reference_graph
 from corpusloom.sources.corpus import Corpus
@@ -59,12 +64,91 @@ def write_generation(corpus: Corpus, root: str) -> str:
         }
         for table, df in tables.items():
             df.repartition("namespace", "bucket").write.mode("overwrite").partitionBy("namespace", "bucket").parquet(f"{root}/generation={name}/{table}")
+        rows = [(table, df.schema.json(), table_hash(df)) for table, df in tables.items()]
+        spark.createDataFrame(rows, "table string, schema string, sha256 string").coalesce(1).write.mode("overwrite").parquet(f"{root}/generation={name}/hashes")
     row = spark.range(1).select(F.lit(name).alias("generation"), F.lit(corpus.policy.fingerprint()).alias("policy"), F.current_timestamp().alias("written"))
     row.write.mode("append").parquet(f"{root}/manifest")  # a reader sees the generation from here on
     _retain(spark, root, corpus.policy.keep_generations)
     return name
 
 
+def table_hash(table: DataFrame) -> str:
+    """A hash of a table's rows, whatever their order: sums of row hashes, and their number."""
+    row = F.sha2(F.to_json(F.struct(*sorted(table.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    return hashlib.sha256("|".join(map(str, table.agg(F.count("*"), *parts).first())).encode()).hexdigest()
+
+
+def _written(spark: SparkSession, root: str, generation: str) -> list[Row]:
+    """(table, schema, sha256) of a generation's tables: a row each."""
+    return spark.read.parquet(f"{root}/generation={generation}/hashes").collect()
+
+
+def _table(spark: SparkSession, root: str, generation: str, table: str) -> DataFrame:
+    """A table as it was written; one without rows has no file that tells its columns."""
+    schema = next((r.schema for r in _written(spark, root, generation) if r.table == table), None)
+    if schema is None:
+        raise LookupError(f"a generation has no table {table}")
+    return spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(f"{root}/generation={generation}/{table}")
+
+
+def is_intact(spark: SparkSession, root: str, generation: str, tables: tuple[str, ...] | None = None) -> bool:
+    """Whether the tables of a generation are there and hash as when they were written."""
+    try:
+        hashes = {r.table: r.sha256 for r in _written(spark, root, generation)}
+        return all(table_hash(_table(spark, root, generation, t)) == hashes[t] for t in tables or hashes)
+    except (LookupError, Py4JJavaError, PySparkException):
+        return False
+
+
+def load_verified(corpus: Corpus, root: str, table: str) -> DataFrame:
+    """A table of the current generation; stale or corrupt ones raise ``LookupError``."""
+    spark, state = corpus.parsed.sparkSession, generation_status(corpus, root)
+    name = generation_id(corpus)
+    if state != "current" or not is_intact(spark, root, name, (table,)):
+        raise LookupError(f"the generation is {state if state != 'current' else 'corrupt'}")
+    return read_generation(spark, root, name, table)
+
+
+def write_federated(corpora: dict[str, Corpus], root: str, policy_of: dict[str, str] | None = None) -> dict[str, bool]:
+    """Writes each source's tables under the hash of its content; says which were there already.
+
+    A source that did not change is reused, and objects that no source names any more go.
+    """
+    spark = next(iter(corpora.values())).parsed.sparkSession
+    names = {s: hashlib.sha256(f"{s}|{(policy_of or {}).get(s, '')}|{generation_id(c)}".encode()).hexdigest() for s, c in sorted(corpora.items())}
+    before = _federated_names(spark, root)
+    reused = {}
+    for source, name in names.items():
+        reused[source] = before.get(source) == name
+        if not reused[source]:
+            tables = {"documents": document_table(corpora[source]), "edges": reference_graph(corpora[source])[0]}
+            for table, df in tables.items():
+                df.write.mode("overwrite").parquet(f"{root}/objects/{name}/{table}")
+    spark.createDataFrame(sorted(names.items()), "source string, object string").coalesce(1).withColumn("written", F.current_timestamp()).write.mode("append").parquet(f"{root}/sources")
+    for old in set(before.values()) - set(names.values()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/objects/{old}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return reused
+
+
+def _federated_names(spark: SparkSession, root: str) -> dict[str, str]:
+    """The object of every source of the snapshot written last: as many rows as sources."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/sources")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    rows = spark.read.parquet(f"{root}/sources")
+    return {r.source: r.object for r in rows.groupBy("source").agg(F.max_by("object", "written").alias("object")).collect()}
+
+
+def read_federated(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A table of all sources of a federated snapshot, with a leading column ``source``."""
+    parts = [spark.read.parquet(f"{root}/objects/{name}/{table}").select(F.lit(source).alias("source"), "*") for source, name in sorted(_federated_names(spark, root).items())]
+    if not parts:
+        raise LookupError(f"no federated snapshot under {root}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifest")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
@@ -93,7 +177,7 @@ def resolve_generation(spark: SparkSession, root: str, selector: str) -> str:
 
 def read_generation(spark: SparkSession, root: str, generation: str, table: str, document_id: str | None = None) -> DataFrame:
     """A table of a generation, or one document's part of it by its bucket alone."""
-    df = spark.read.parquet(f"{root}/generation={generation}/{table}")
+    df = _table(spark, root, generation, table)
     if document_id is None:
         return df.drop("namespace", "bucket")
     namespace, number = document_id.rsplit("-", 1)
@@ -102,13 +186,19 @@ def read_generation(spark: SparkSession, root: str, generation: str, table: str,
     return df.where(own).drop("namespace", "bucket")
 
 
-def generation_status(corpus: Corpus, root: str) -> str:
-    """missing, current or stale: whether the newest generation is that of the corpus."""
+def generation_status(corpus: Corpus, root: str, verify: bool = False) -> str:
+    """missing, current, stale or corrupt: whether the newest generation is that of the corpus.
+
+    Corrupt, which only ``verify`` looks for, is one of the corpus' name whose tables are
+    not as they were written; that reads all of them.
+    """
     found = manifest(corpus.parsed.sparkSession, root)
     if found is None:
         return "missing"
     newest = found.orderBy(F.desc("written")).first()
-    return "current" if newest and newest.generation == generation_id(corpus) else "stale"
+    if not newest or newest.generation != generation_id(corpus):
+        return "stale"
+    return "corrupt" if verify and not is_intact(corpus.parsed.sparkSession, root, newest.generation) else "current"
 
 
 def load_edges(corpus: Corpus, root: str | None) -> DataFrame:

@@ -122,6 +122,22 @@ def catalog_issues(corpus: Corpus, graph: bool = False) -> DataFrame:
     return reduce(DataFrame.unionByName, (rule(corpus) for rule in rules))
 
 
+def validation_summary(issues: DataFrame) -> DataFrame:
+    """One row: errors, warnings, migrations and boundaries of legacy paths, stale pins."""
+    of = lambda c: F.count_if(F.col("category") == c)
+    return issues.agg(
+        F.count_if(F.col("severity") != "warning").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"),
+        of("legacy-migration").alias("adoption_resolved"), of("legacy-boundary").alias("adoption_boundaries"), of("stale-pin").alias("stale_pins"),
+    )
+
+
+def compacted(issues: DataFrame, verbose: bool = False) -> DataFrame:
+    """(path, severity, message, n): warnings of legacy paths as one counted row a category."""
+    folds = F.lit(not verbose) & (F.col("severity") == "warning") & F.coalesce(F.col("category").isin("legacy-migration", "legacy-boundary"), F.lit(False))
+    rows = issues.select(F.when(~folds, F.col("path")).alias("path"), "severity", F.when(folds, F.col("category")).otherwise(F.col("message")).alias("message"))
+    return rows.groupBy("path", "severity", "message").agg(F.count("*").alias("n"))
+
+
 def blockers(corpus: Corpus, query: str, documents: DataFrame | None = None) -> DataFrame:
     """Issues that keep a query from answering; ``documents`` (path) are those it touches.
 

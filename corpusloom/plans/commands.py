@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.markdown import ID, valid_anchor
 from corpusloom.operators import analytics, federation, program, ranges, resolve, snapshots, traverse, validate
 from corpusloom.plans.session import materialize
 from corpusloom.sources.corpus import Corpus, section_text
@@ -123,23 +124,73 @@ def change_plan(corpus: Corpus, address: str, reverse: bool = False, transitive:
     return _gated(rows.orderBy("address"), validate.blockers(corpus, "change-plan"), boundaries=met, completeness=completeness(met, reverse))
 
 
-def context(corpus: Corpus, document_id: str, depth: int = 1, include_related: bool = False, view: str | None = None, anchors: tuple[str, ...] = (), since: str | None = None, root: str | None = None) -> dict[str, DataFrame]:
+def delivery_review(corpus: Corpus, contract: str) -> DataFrame:
+    """(kind, address, state) of a contract: its state, its owners and their evidence sections."""
+    rows = materialize(analytics.delivery_rows(corpus).where("code IS NULL"), "delivery")
+    asked = corpus.parsed.sparkSession.createDataFrame([(contract,)], "source string")
+    if not corpus.policy.delivery_types:
+        return asked.select(F.lit("contract").alias("kind"), F.col("source").alias("address"), F.lit("unconfigured").alias("state"))
+    state = analytics.delivery_state(asked, rows).select(F.lit("contract").alias("kind"), F.col("source").alias("address"), "state")
+    owners = rows.where(F.col("source") == contract).select("owner", "status").distinct()
+    evidence = analytics.evidence_rows(corpus).where("anchor IS NOT NULL").join(owners.select("owner"), "owner", "left_semi")
+    return state.unionByName(owners.select(F.lit("owner").alias("kind"), F.col("owner").alias("address"), F.col("status").alias("state"))).unionByName(
+        evidence.select(F.lit("evidence").alias("kind"), F.concat_ws("#", "owner", "anchor").alias("address"), F.col("role").alias("state"))
+    )
+
+
+def execution_plan(corpus: Corpus, targets: tuple[str, ...]) -> DataFrame:
+    """(start, address, disposition, n_reasons) of a handoff's targets, transitively, both ways."""
+    edges = materialize(snapshots.load_edges(corpus, None), "edges")
+    both = [traverse.traverse_reasons(edges, _starts(corpus, *targets), back).withColumn("is_reverse", F.lit(back)) for back in (False, True)]
+    return dispositions(both[0].unionByName(both[1]))
+
+
+def selection(items: tuple[str, ...]) -> list[tuple[str, str | None]]:
+    """(ID, anchor or None) of ``ID`` or ``ID#anchor``; an empty part is an error, repeats go."""
+    out = []
+    for item in dict.fromkeys(items):
+        document_id, sign, anchor = item.partition("#")
+        if not ID.fullmatch(document_id) or (sign and not valid_anchor(anchor)):
+            raise ValueError(f"{item!r} is neither an ID nor ID#anchor")
+        out.append((document_id, anchor or None))
+    return out
+
+
+def outline(included: DataFrame) -> DataFrame:
+    """(document_id, ordinal, level, anchor, n_bytes): headings in place of texts."""
+    rows = included.select("document_id", "lines", F.explode("sections").alias("s"))
+    return rows.select("document_id", "s.ordinal", "s.level", "s.anchor", F.octet_length(section_text(F.col("lines"), F.col("s.start_line"), F.col("s.end_line"))).alias("n_bytes"))
+
+
+def context(corpus: Corpus, document_id: str, depth: int = 1, include_related: bool = False, view: str | None = None, anchors: tuple[str, ...] = (), since: str | None = None, root: str | None = None, include: tuple[str, ...] = (), assume_known: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """A task-sized packet: documents with reasons, their sections, and what is left out.
 
     ``sections`` holds navigation, requested sections and, against the generation
     ``since``, changed ones; ``omitted`` lists the other H2 sections; ``state`` says of
-    each document whether it is new, changed or unchanged.
+    each document whether it is new, changed or unchanged. ``include`` adds documents
+    (ID) or sections (ID#anchor) whatever leads to them; documents ``assume_known`` keep
+    their row but bring no text; ``outline`` has all headings with their sizes, and
+    ``manifest`` which line range of ``fragments`` answers each address.
     """
     find_document(corpus, document_id)
+    extra = selection(include)
     named = dict(corpus.policy.views)
     chosen = named[view] if view else View("forward", RELATED_RELATIONS if include_related else DEFAULT_RELATIONS, depth)
     edges = resolve.dependency_edges(corpus).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "relation")
     selected = traverse.context_selection(edges, _starts(corpus, document_id), chosen.depth, chosen.relations, chosen.direction)
+    if extra:
+        asked = corpus.parsed.sparkSession.createDataFrame([(document_id, i) for i in dict.fromkeys(d for d, _ in extra)], "start string, document_id string")
+        fresh = asked.join(selected.select("document_id"), "document_id", "left_anti").select("start", "document_id", F.lit(None).cast("int").alias("distance"), F.array(F.lit("include")).alias("relations"))
+        selected = selected.unionByName(fresh)
     included = corpus.parsed.drop("relations").join(selected.select("document_id", "distance", "relations"), "document_id")
     scope = None if view and chosen.direction != "forward" else included
     gate = validate.blockers(corpus, "context", scope)
     h2 = included.select("document_id", "distance", "lines", F.explode("sections").alias("s"))
     wanted = (F.col("distance") == 0) & F.col("s.anchor").isin(*anchors) if anchors else F.lit(False)
+    for own_id, anchor in extra:
+        wanted = wanted | ((F.col("document_id") == own_id) & (F.col("s.anchor") == anchor)) if anchor else wanted
+    known = F.col("document_id").isin(*assume_known) if assume_known else F.lit(False)
+    wanted = F.coalesce(wanted, F.lit(False)) & ~known
     now = materialize(included.select("document_id", F.sha2("content", 256).alias("source_sha256")), "now")
     state, changed = now.select("document_id", F.lit("unknown").alias("state")), None
     if since and root:
@@ -152,13 +203,15 @@ def context(corpus: Corpus, document_id: str, depth: int = 1, include_related: b
         changed = snapshots.section_changes(old.join(now.select("document_id"), "document_id", "left_semi"), current)
         keys = changed.where("change <> 'removed'").select(F.col("document_id").alias("c_id"), F.col("anchor").alias("c_anchor"), F.lit(True).alias("is_changed"))
         h2 = h2.join(keys, (F.col("document_id") == F.col("c_id")) & (F.col("s.anchor") == F.col("c_anchor")), "left")
-        wanted = wanted | (F.coalesce("is_changed", F.lit(False)) & (F.col("s.level") == 2))
+        wanted = wanted | (F.coalesce("is_changed", F.lit(False)) & (F.col("s.level") == 2) & ~known)
     sections = h2.where(wanted).select("document_id", "s.anchor", "s.start_line", "s.end_line", section_text(F.col("lines"), F.col("s.start_line"), F.col("s.end_line")).alias("content"))
     omitted = h2.where((F.col("s.level") == 2) & ~wanted).select("document_id", "s.anchor", F.octet_length(section_text(F.col("lines"), F.col("s.start_line"), F.col("s.end_line"))).alias("n_bytes"))
     pins = resolve.pin_states(corpus).where("state <> 'current'").join(now.select(F.col("document_id").alias("source_id")), "source_id", "left_semi")
     packet = {
-        "documents": included.select("document_id", "path", "distance", "relations", "revision", navigation_text(corpus).alias("navigation")).orderBy("distance", "document_id"),
+        "documents": included.select("document_id", "path", "distance", "relations", "revision", F.when(~known, navigation_text(corpus)).alias("navigation")).orderBy("distance", "document_id"),
         "sections": sections,
+        "outline": outline(included),
+        "manifest": ranges.fragments(sections.withColumn("address", F.concat_ws("#", "document_id", "anchor"))),
         "omitted": omitted,
         "omissions": traverse.context_omissions(edges, selected, chosen.depth, chosen.relations, chosen.direction),
         "pins": pins,
@@ -174,7 +227,7 @@ def packet_stats(packet: dict[str, DataFrame], corpus: Corpus) -> DataFrame:
     """Bytes of a packet's texts, of the corpus, and their ratio."""
     size = packet["documents"].select(F.octet_length("navigation").alias("b")).unionAll(packet["sections"].select(F.octet_length("content").alias("b")))
     whole = corpus.parsed.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    own = size.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("packet_bytes"), F.lit(whole).alias("corpus_bytes"))
+    own = size.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("packet_bytes"), F.lit(whole).cast("long").alias("corpus_bytes"))
     return own.withColumn("share", F.try_divide("packet_bytes", "corpus_bytes"))
 
 
@@ -282,6 +335,7 @@ def doctor(corpus: Corpus) -> DataFrame:
         return issues.orderBy("path", "severity", "message").select("path", "severity", "message")
     families = [analytics.profile_violations(corpus).select("document_id", "code")]
     families.append(analytics.delivery_rows(corpus).where("code IS NOT NULL").select(F.col("owner").alias("document_id"), "code"))
+    families.append(program.plan_shapes(corpus.documents).select(F.col("program_id").alias("document_id"), "code"))
     families.append(program.plan_violations(milestones(corpus), corpus.documents, corpus.headings).select(F.col("program_id").alias("document_id"), "code"))
     for family in families:
         if family.limit(1).count():

@@ -184,3 +184,38 @@ def test_policy_and_workspace(tmp_path):
     (tmp_path / "a/corpusloom.toml").write_text("version = 1\n")
     alpha, beta = load_workspace(tmp_path)
     assert source_status(alpha) == ("available", None) and source_status(beta) == ("unavailable", "missing-root")
+
+
+def test_corrupt_generation(spark, corpus, tmp_path):
+    """A generation whose table lost rows is corrupt, and reading it verified is refused."""
+    root = str(tmp_path)
+    name = snapshots.write_generation(corpus, root)
+    assert snapshots.load_verified(corpus, root, "edges").count() == snapshots.read_generation(spark, root, name, "edges").count()
+    lost = next(p for p in (tmp_path / f"generation={name}" / "sections").rglob("part-*.parquet"))
+    lost.unlink()
+    assert snapshots.generation_status(corpus, root, verify=True) == "corrupt"
+    with pytest.raises(LookupError):
+        snapshots.load_verified(corpus, root, "sections")
+    assert snapshots.load_verified(corpus, root, "documents").count() == 3
+
+
+def test_include_and_known(corpus):
+    packet = commands.context(corpus, "DOC-002", 0, anchors=("setup",), include=("DOC-001#intro", "DOC-003"), assume_known=("DOC-002",))
+    assert rows(packet["documents"], "document_id") == [("DOC-001",), ("DOC-002",), ("DOC-003",)]
+    assert rows(packet["sections"], "document_id", "anchor") == [("DOC-001", "intro")]
+    assert {r.navigation for r in packet["documents"].where("document_id = 'DOC-002'").collect()} == {None}
+    for wrong in ("DOC-001#", "#x", "doc-1"):
+        with pytest.raises(ValueError):
+            commands.context(corpus, "DOC-002", include=(wrong,))
+
+
+def test_scratch(spark):
+    """Tables of a block go at its end, but for what is kept."""
+    from pathlib import Path
+
+    from corpusloom.plans.session import materialize, scratch
+
+    with scratch(spark) as own:
+        gone, kept = materialize(spark.range(5), "gone"), own.keep(materialize(spark.range(3), "kept"))
+        paths = list(own.paths)
+    assert kept.count() == 3 and [Path(p.removeprefix("file:")).exists() for p in paths] == [False, True] and gone.columns == ["id"]
