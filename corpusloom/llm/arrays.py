@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
+from corpusloom.plans.session import ship
+
 #: Separators of the plain word rule: space and the bytes 9 to 13.
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _BASE, _MASK = 0x9E3779B97F4A7C15 | 1, (1 << 64) - 1
@@ -31,6 +33,7 @@ def map_text(
     ``work`` gets batches that hold ``keep`` and ``text``, of about ``batch_bytes``
     of text or one longer row. A made column replaces a kept one of its name.
     """
+    ship(docs.sparkSession)
     made = {f.name for f in fields}
     kept = [c for c in keep if c not in made]
     schema = StructType([*(docs.schema[c] for c in kept), *fields])

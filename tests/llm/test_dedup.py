@@ -113,18 +113,42 @@ def test_empty_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(odd).collect()) == [(-1, -1, True), (5, 5, True), (5, 5, True)]
 
 
-def test_scan(spark):
-    items = [(1, prose(25, [f"q{i}" for i in range(99)])), (2, "Short item, here"), (10, None), (11, "..."), (3, prose(12, ["a", "b"])), (4, "Über x1 Straße")]
+def bench_tables():
+    items = [(1, prose(25, [f"q{i}" for i in range(99)])), (2, "Short item, here"), (10, None), (11, "..."), (3, prose(12, ["a", "b"])), (4, "Über x1 Straße"), (None, "nameless item"), (None, "short item here")]
     long = items[0][1].split()
-    texts = [items[0][1], " ".join(long[:10]) + " stop " + " ".join(long[3:14]), "no SHORT item--here", None, "", "!!", items[4][1] * 3, "übER x1 straße Über X1 straße", " ".join(long[:9]), "é" + items[0][1]]
-    docs = list(enumerate(texts))
-    found = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=200)
+    texts = [items[0][1], " ".join(long[:10]) + " stop " + " ".join(long[3:14]), "no SHORT item--here", None, "", "!!", items[4][1] * 3, "übER x1 straße Über X1 straße", " ".join(long[:9]), "é" + items[0][1], "a nameless item"]
+    return items, [*enumerate(texts), (0, texts[0]), (0, texts[2])]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 400, 60])
+def test_scan(spark, block_bytes):
+    """One automaton, or many blocks, each of which a worker builds once."""
+    items, docs = bench_tables()
+    df = spark.createDataFrame([(d, t, "x", 1, "y") for d, t in docs], "doc_id long, text string, item_ids string, _row int, _found string")
+    found = decontaminate.scan(df, spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes)
     got = sorted(tuple(r) for r in decontaminate.digest(found).collect())
     assert got == sorted(decontaminate.brute_force(docs, items))
-    spans = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in found.collect()}
-    assert spans[2] == ["SHORT item--here"] and spans[0] == [texts[0]]
-    nothing = spark.createDataFrame([], "item_id long, text string")
-    assert decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), nothing).where("n_hit > 0").count() == 0
+    spans = {r.doc_id: [docs[r.doc_id][1][s.start : s.end] for s in r.spans] for r in found.collect() if r.doc_id}
+    assert spans[2] == ["SHORT item--here"] * 2 and spans[9] == [items[0][1].split(" ", 1)[1]] and spans[10] == ["nameless item"]
+
+
+def test_scan_nothing(spark):
+    _, docs = bench_tables()
+    df, nothing = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.scan(df, nothing).where("n_hit > 0").count() == 0
+    assert decontaminate.scan(df.limit(0), nothing).count() == 0
+
+
+def test_one_automaton_a_worker():
+    """Texts of a block never build its automaton again; another block's takes its place."""
+    class Shared:
+        def __init__(self, name):
+            self.value = [(name, "i")]
+
+    first = decontaminate._automaton("x", Shared(b"a"))
+    assert all(decontaminate._automaton("x", Shared(b"a")) is first for _ in range(100))
+    decontaminate._automaton("y", Shared(b"b"))
+    assert len(decontaminate._built) == 1
 
 
 def test_array_helpers():
