@@ -11,9 +11,13 @@ compiled on demand, and starts anew when it reaches ``MOST_STATES``.
 
 A batch of texts is one stream of symbols, cut into equal chunks that run in step.
 A chunk maps its entry state to an exit state and a count. After the first word end
-inside it that map is constant, so all chunks run from there at once; a prefix scan
-over the maps (a constant map absorbs what lies before it) then gives each chunk its
-entry state, and the beginnings of all chunks run at once, too.
+inside it that map is constant, so all chunks run from there at once. A chunk within a
+long word has a map that is known by points: first where it leads from the root, then
+from the states to which the chunk before it, or often others of that word, led. A prefix scan composes the maps of such a
+chain by doubling, in a logarithmic number of levels; where a composition meets a point
+that is not known yet, all such points of all chains run at once, and the scan is done
+again. States forget their past within a few tokens, or go round in a small circle, so
+a few rounds do, however long the word. Then the beginnings of all chunks run at once from their entry states.
 
 Edge cases: null or empty text has no tokens; special strings inside a text count as
 one token each, as the library does by default; repeated rows each get a row; a text
@@ -25,6 +29,8 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -91,30 +97,34 @@ State = tuple[str, tuple[tuple[str, int] | None, ...]]
 _ROOT: State = ("", (("", 0),))
 
 
+#: A transition as one number: the next state, and the tokens added above a least number.
+_ADDS, _LEAST = 1 << 12, -(1 << 11)
+#: Points that a chunk's map may get ahead of need.
+AHEAD = 8
+
+
 class Transducer:
-    """States as rows and symbols as columns of two tables: next state, tokens added."""
+    """States as rows and symbols as columns of a table of transitions."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
         self.column = np.full(512, -1, np.int64)
         self.symbols: list[int] = []
+        self.rounds = 0  #: of the scan that took most
         self.clear()
 
     def clear(self) -> None:
         self.keys: list[State] = [_ROOT]
         self.number: dict[State, int] = {_ROOT: 0}
         self.width = max(128, -(-len(self.symbols) // 64) * 64)
-        self.next = np.full((1024, self.width), -1, np.int32)
-        self.adds = np.zeros((1024, self.width), np.int16)
+        self.moves = np.full(1024 * self.width, -1, np.int32)
 
     def state(self, key: State) -> int:
         if key not in self.number:
             self.number[key] = len(self.keys)
             self.keys.append(key)
-            if len(self.keys) > len(self.next):
-                more = 1 << 14
-                self.next = np.concatenate([self.next, np.full((more, self.width), -1, np.int32)])
-                self.adds = np.concatenate([self.adds, np.zeros((more, self.width), np.int16)])
+            if len(self.keys) * self.width > len(self.moves):
+                self.moves = np.concatenate([self.moves, np.full((1 << 14) * self.width, -1, np.int32)])
         return self.number[key]
 
     def columns(self, symbols: np.ndarray) -> np.ndarray:
@@ -145,15 +155,17 @@ class Transducer:
         moved = [None if p is None else (p[0], p[1] + added) for p in places] + [(token, 0)]
         return (text[keep:], tuple(p if text[k:] in begun else None for k, p in enumerate(moved) if k >= keep)), added
 
-    def fill(self, states: np.ndarray, columns: np.ndarray) -> None:
-        for s, c in np.unique(np.stack([states, columns], 1), axis=0).tolist():
-            key, added = self.step(self.keys[s], self.symbols[c])
-            to = self.state(key)
-            self.next[s, c], self.adds[s, c] = to, added
+    def fill(self, places: np.ndarray) -> None:
+        for at in np.unique(places).tolist():
+            key, added = self.step(self.keys[at // self.width], self.symbols[at % self.width])
+            self.moves[at] = self.state(key) * _ADDS + added - _LEAST
 
-    def run(self, stream: np.ndarray, states: np.ndarray, begins: np.ndarray, ends: np.ndarray, out: np.ndarray) -> np.ndarray:
-        """Runs lane i over stream[begins[i]:ends[i]] in step; returns the exit states."""
-        states = states.copy()
+    def run(self, stream: np.ndarray, states: np.ndarray, begins: np.ndarray, ends: np.ndarray, out: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Runs lane i over stream[begins[i]:ends[i]] in step: exit states, tokens added by each.
+
+        ``out`` gets the tokens that each symbol adds.
+        """
+        states, total = states.astype(np.int64), np.zeros(len(states), np.int64)
         order = np.argsort(begins - ends, kind="stable")  # longest first, so that those still running come first
         begins, length, states = begins[order], (ends - begins)[order], states[order]
         live = len(order)
@@ -161,24 +173,29 @@ class Transducer:
             while live and length[live - 1] <= t:
                 live -= 1
             at = begins[:live] + t
-            cols, now = stream[at], states[:live]
-            to = self.next[now, cols]
-            if (to < 0).any():
-                self.fill(now[to < 0], cols[to < 0])
-                to = self.next[now, cols]
-            out[at] = self.adds[now, cols]
-            states[:live] = to
+            places = states[:live] * self.width
+            places += stream[at]
+            to = self.moves[places]
+            if to.min() < 0:
+                self.fill(places[to < 0])
+                to = self.moves[places]
+            added = (to & (_ADDS - 1)) + _LEAST
+            total[:live] += added
+            if out is not None:
+                out[at] = added
+            states[:live] = to >> 12
             if len(self.keys) > MOST_STATES:
                 used = np.unique(states)
                 keys = [self.keys[i] for i in used.tolist()]
                 self.clear()
                 states = np.array([self.state(k) for k in keys])[np.searchsorted(used, states)]
-        back = np.empty_like(states)
-        back[order] = states
-        return back
+        back, sums = np.empty_like(states), np.empty_like(total)
+        back[order], sums[order] = states, total
+        return back, sums
 
     def count(self, symbols: np.ndarray, lanes: int = 4096) -> np.ndarray:
-        """Tokens added by each symbol of a stream of whole words."""
+        """Tokens of a stream of whole words: at each symbol those that it adds, or, for a
+        chunk within one word, all of the chunk's at its first symbol."""
         n = len(symbols)
         out = np.zeros(n, np.int64)
         if not n:
@@ -191,30 +208,86 @@ class Transducer:
         first = np.concatenate([resets, [n]])[np.searchsorted(resets, begins, "right")]
         constant = first <= ends
         first = np.minimum(first, ends)
-        keys: list[State | None] = [None] * len(begins)
 
-        def run(which: np.ndarray, states: list[State], a: np.ndarray, b: np.ndarray) -> list[State]:
-            done = self.run(stream, np.array([self.state(k) for k in states], np.int64), a, b, out)
-            return [self.keys[i] for i in done.tolist()]
+        def run(which: np.ndarray, states: list[State], a: np.ndarray, b: np.ndarray, sink: np.ndarray | None) -> list[Point]:
+            done, sums = self.run(stream, np.array([self.state(k) for k in states], np.int64), a, b, sink)
+            return [(self.keys[i], x) for i, x in zip(done.tolist(), sums.tolist(), strict=True)]
 
         own = np.flatnonzero(constant)
-        for i, k in zip(own.tolist(), run(own, [_ROOT] * len(own), first[own], ends[own]), strict=True):
-            keys[i] = k
-        # prefix scan: each chunk is entered from the last constant map before it, through
-        # the chunks without a word end, whose maps compose one after another
-        source = np.maximum.accumulate(np.where(constant, np.arange(len(begins)), -1))
-        entry = np.concatenate([[-1], source[:-1]])
-        depth = np.arange(len(begins)) - 1 - entry
-        for d in range(int(depth.max(initial=0)) + 1):
-            own = np.flatnonzero(depth == d)
-            if len(own):
-                came = [(keys[i - 1] or _ROOT) if i else _ROOT for i in own.tolist()]
-                for i, k in zip(own.tolist(), run(own, came, begins[own], first[own]), strict=True):
-                    if not constant[i]:
-                        keys[i] = k
+        exits: dict[int, State] = dict(zip(own.tolist(), (k for k, _ in run(own, [_ROOT] * len(own), first[own], ends[own], out)), strict=True))
+        within = np.flatnonzero(~constant)
+        if len(within):
+            cuts = np.flatnonzero(np.diff(within) != 1) + 1
+            chains = [c.tolist() for c in np.split(within, cuts)]
+            ask = lambda points: run(np.array([i for i, _ in points]), [k for _, k in points], begins[[i for i, _ in points]], ends[[i for i, _ in points]], None)
+            solved, rounds = solve_chains(chains, {c[0]: exits.get(c[0] - 1, _ROOT) for c in chains}, ask)
+            self.rounds = max(self.rounds, rounds)
+            for i, (key, tokens) in solved.items():
+                exits[i] = key
+                out[begins[i]] = tokens
+        own = np.flatnonzero(constant & (first > begins))
+        run(own, [exits.get(i - 1, _ROOT) for i in own.tolist()], begins[own], first[own], out)
         return out
 
 
+Point = tuple[State, int]  #: where an entry state leads, and the tokens on the way
+
+
+def composed(later: dict[State, Point], earlier: dict[State, Point]) -> dict[State, Point]:
+    """The map of two parts one after the other, at the points at which both are known."""
+    out = {}
+    for key, (middle, n) in earlier.items():
+        if (found := later.get(middle)) is not None:
+            out[key] = (found[0], n + found[1])
+    return out
+
+
+def scanned(maps: list[dict[State, Point]]) -> list[dict[State, Point]]:
+    """All prefixes' compositions, by doubling: log2 levels, each composing all at once."""
+    out, step = maps, 1
+    while step < len(maps):
+        out = [composed(m, out[i - step]) if i >= step else m for i, m in enumerate(out)]
+        step *= 2
+    return out
+
+
+def solve_chains(chains: list[list[int]], entries: dict[int, State], ask: Callable[[list[tuple[int, State]]], list[Point]]) -> tuple[dict[int, Point], int]:
+    """(exit state and tokens of every part of every chain, rounds) from the chains' entries.
+
+    ``ask`` runs parts from states, all at once.
+    """
+    maps: dict[int, dict[State, Point]] = {i: {} for c in chains for i in c}
+    wanted = {(i, _ROOT) for i in maps} | {(c[0], entries[c[0]]) for c in chains}
+    solved: dict[int, Point] = {}
+    rounds, left = 0, chains
+    while left:
+        rounds += 1
+        points = sorted(wanted)
+        for (i, key), found in zip(points, ask(points), strict=True):
+            maps[i][key] = found
+        wanted, still = set(), []
+        for chain in left:
+            entry, whole = entries[chain[0]], scanned([maps[i] for i in chain])
+            known = next((k for k, m in enumerate(whole) if entry not in m), len(chain))
+            state, before = entry, 0
+            for k in range(known):
+                exit_, sum_ = whole[k][entry]
+                solved[chain[k]] = (exit_, sum_ - before)
+                state, before = exit_, sum_
+            if known < len(chain):
+                rest = chain[known:]
+                entries[rest[0]] = state
+                still.append(rest)
+                wanted.add((rest[0], state))
+                led = Counter(k for i in rest for k, _ in maps[i].values())
+                often = [state, *(k for k, n in led.most_common(AHEAD) if n > 1)]
+                for i, j in zip(rest, rest[1:], strict=False):
+                    likely = [k for k in dict.fromkeys([*(k for k, _ in maps[i].values()), *often]) if k not in maps[j]]
+                    wanted |= {(j, k) for k in likely[: max(0, AHEAD - len(maps[j]))]}
+        left = still
+    return solved, rounds
+
+
 # Words ---------------------------------------------------------------------
 _SPACE, _LETTER, _NUMBER, _MARK = range(4)
 

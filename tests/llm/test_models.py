@@ -178,6 +178,34 @@ def test_tokens(spark):
         assert got[i] == (len((t or "").encode()), n, n > 2048), t
 
 
+def test_long_words():
+    """Words over many chunks: equal to the library, in few rounds of a scan."""
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(2)
+    with open(tokenizer_path(), "rb") as f:
+        machine = tokencount.Transducer(tokencount.Merges(f.read()))
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = ["x" * 40_001, "abc" * 20_000, "hello" * 9_000 + " a b " + "zz" * 8_000, "".join(r.choice(list("etaoinshrdlu"), 50_000)), "日本語" * 5_000, "!" * 10_007]
+    for t in texts:
+        machine.rounds = 0
+        assert tokencount.count_tokens([t, "end"], machine).tolist() == [len(library.encode(x, add_special_tokens=False).ids) for x in (t, "end")], t[:9]
+        assert machine.rounds <= 8, (t[:9], machine.rounds)
+
+
+def test_scan_composes():
+    """Prefix compositions of partial maps equal one step after another."""
+    r = np.random.default_rng(0)
+    maps = [{(str(a), ()): ((str(r.integers(4)), ()), int(r.integers(9))) for a in range(4) if r.random() < 0.9} for _ in range(37)]
+    for entry in [(str(a), ()) for a in range(4)]:
+        state, n, dead = entry, 0, False
+        for m, whole in zip(maps, tokencount.scanned(maps), strict=True):
+            dead = dead or state not in m
+            if not dead:
+                state, n = m[state][0], n + m[state][1]
+            assert whole.get(entry) == (None if dead else (state, n))
+
+
 def test_tokens_restart(monkeypatch):
     """A transducer that must start anew again and again still counts right."""
     with open(tokenizer_path(), "rb") as f:
