@@ -4,8 +4,12 @@ A document is the set of its hashed lower-cased terms. The machine adds a weight
 each term and the product of two terms' vectors for each pair, so it learns what two
 terms say together. It is trained in numpy, on labelled rows only, at most
 ``TRAIN_ROWS`` of them: those of the smallest hashes of doc_id, whatever the table's
-size. Terms enter the model only if they tell the labels apart by ``CHI2`` at least;
-that keeps out terms which wrong labels would make it learn by heart.
+size. Terms enter the model if they tell the labels apart alone, or if with another
+term they do so far better than the two apart: of the ``PAIR_TERMS`` most frequent terms
+every pair is tested. Both tests allow for their number, so that chance lets in a term
+in a hundred trainings; that keeps out terms which wrong labels would make it learn by
+heart, and lets in those that say something only together. The terms' counts are summed
+where the rows lie; of each row only terms that pass or take part in pairs are gathered.
 
 Edge cases: null or empty text has no term and gets the score of the bias; a null
 label or doc_id, or a label of no document, trains nothing; no labels, or labels of
@@ -14,6 +18,7 @@ one kind, give the share of ones (0 for none) to all rows; repeated rows each ge
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +29,13 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
 from corpusloom.llm.arrays import PrefixHash, byte_view, column, lower_ascii, map_text, mixed, words_of
 from corpusloom.llm.decontaminate import WORD
+from corpusloom.plans.session import materialize
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 12_000
-CHI2 = 24.0
+LEAST_ROWS = 5
+PAIR_TERMS = 1024
+CHANCE = 0.01
 FACTORS = 6
 _GAPS = np.array([not WORD.match(bytes([c]).lower()) for c in range(256)])
 
@@ -64,19 +72,73 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(linear + 0.5 * ((total**2).sum(1) - square), -30, 30)))
 
 
-def fit(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, epochs: int = 30, seed: int = 7) -> Machine:
-    """Trains on rows whose distinct hashed terms lie at ``offsets`` of ``buckets``."""
+def limit(tests: float) -> float:
+    """The chi-square that the largest of so many tests passes by chance in ``CHANCE`` of cases."""
+    return 2 * float(np.log(max(tests, 1) / CHANCE))
+
+
+def surprise(n: np.ndarray, hit: np.ndarray, rate: float) -> np.ndarray:
+    """Chi-square of groups of n rows, hit of them of label one, against a share of ``rate``."""
+    return (hit - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9) * (n > 0)
+
+
+def apart(n: int, rate: float, have: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Chi-square of rows with a term against rows without it."""
+    return surprise(have, hit, rate) + surprise(n - have, n * rate - hit, rate)
+
+
+def telling(n: int, positive: float, have: np.ndarray, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms that tell alone, the most frequent terms) from rows with each term and their labels."""
+    usable = (have >= LEAST_ROWS) & (have < n)
+    alone = np.flatnonzero(usable & (apart(n, positive / n, have, hit) >= limit(usable.sum())))
+    frequent = np.argsort(-np.where(usable, have, 0), kind="stable")[: min(PAIR_TERMS, int(usable.sum()))]
+    return alone, frequent
+
+
+def telling_pairs(labels: np.ndarray, rows: np.ndarray, terms_: np.ndarray, k: int, chunk: int = 2000) -> np.ndarray:
+    """Terms of 0..k-1 that tell the labels apart together with another, not by themselves.
+
+    A pair's four groups of rows are set against what its two terms say apart.
+    """
+    n, rate = len(labels), float(labels.mean())
+    both, hits = np.zeros((k, k), np.float32), np.zeros((k, k), np.float32)
+    bounds = np.searchsorted(rows, np.arange(0, n + chunk, chunk))
+    for at, (a, z) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        own = np.zeros((min(chunk, n - at * chunk), k), np.float32)
+        own[rows[a:z] - at * chunk, terms_[a:z]] = 1
+        both += own.T @ own
+        ones = own[labels[at * chunk : at * chunk + len(own)] > 0]
+        hits += ones.T @ ones
+    have, hit = both.diagonal().astype(float), hits.diagonal().astype(float)
+    single, found = apart(n, rate, have, hit), np.zeros(k, bool)
+    most = limit(k * (k - 1) / 2)
+    for i in range(k):
+        b, h = both[i].astype(float), hits[i].astype(float)
+        joint = surprise(b, h, rate) + surprise(have[i] - b, hit[i] - h, rate) + surprise(have - b, hit - h, rate) + surprise(n - have - have[i] + b, n * rate - hit - hit[i] + h, rate)
+        strong = (joint - single - single[i] >= most) & (b >= LEAST_ROWS) & (np.arange(k) != i)
+        found |= strong
+        found[i] |= strong.any()
+    return np.flatnonzero(found)
+
+
+def fit(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, epochs: int = 30, seed: int = 7, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Machine:
+    """Trains on rows whose distinct hashed terms lie at ``offsets`` of ``buckets``.
+
+    ``counts`` are rows with each term, and those of label one, where not all terms are given.
+    """
     n, positive = len(labels), float(labels.sum())
     slot = np.full(BUCKETS, -1, np.int32)
-    rate = positive / n if n else 0.0
     bias = float(np.log((positive + 1e-9) / (n - positive + 1e-9))) if n else -30.0
     if not 0 < positive < n:
         return Machine(slot, float(np.clip(bias, -30, 30)), np.zeros(1), np.zeros((1, FACTORS)))
     of = np.repeat(np.arange(n), np.diff(offsets))
-    have = np.bincount(buckets, minlength=BUCKETS).astype(float)
-    hit = np.bincount(buckets, labels[of], BUCKETS)
-    gap = n * (hit - have * rate) ** 2 / np.maximum(have * (n - have) * rate * (1 - rate), 1e-9)
-    chosen = np.flatnonzero((gap >= CHI2) & (have >= 5) & (have < n))
+    have, hit = counts or (np.bincount(buckets, minlength=BUCKETS).astype(float), np.bincount(buckets, labels[of], BUCKETS))
+    alone, frequent = telling(n, positive, have, hit)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[frequent] = np.arange(len(frequent))
+    common = place[buckets] >= 0
+    together = frequent[telling_pairs(labels, of[common], place[buckets[common]], len(frequent))]
+    chosen = np.union1d(alone, together)
     slot[chosen] = np.arange(len(chosen))
     known = slot[buckets] >= 0
     rows, slots = of[known], slot[buckets[known]]
@@ -111,7 +173,7 @@ def fit(labels: np.ndarray, offsets: np.ndarray, buckets: np.ndarray, epochs: in
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
-    """Fits on at most ``rows`` labelled rows; only their hashed terms reach the driver."""
+    """Fits on at most ``rows`` labelled rows; their terms' counts and telling terms reach the driver."""
     usable = labels.select("doc_id", F.col("toxic").cast("double").alias("toxic")).where(~held_out() & F.col("toxic").isNotNull())
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows)
     known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` short rows
@@ -122,12 +184,46 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         bounds = np.searchsorted(pairs, np.arange(batch.num_rows + 1) * BUCKETS)
         return {"terms": pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array((pairs % BUCKETS).astype(np.int32)))}
 
-    hashed = map_text(known, ["doc_id", "toxic"], [StructField("terms", ArrayType(IntegerType()))], work).toArrow()
-    hashed = hashed.sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    own = hashed.column("terms").combine_chunks()
-    own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
-    sizes = np.array([len(x) for x in own], np.int64)
-    return fit(hashed.column("toxic").to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), own.flatten().to_numpy().astype(np.int64))
+    hashed = materialize(map_text(known, ["doc_id", "toxic"], [StructField("terms", ArrayType(IntegerType()))], work), "terms")
+    summed = hashed.mapInArrow(_term_counts, "bucket int, have double, hit double").groupBy("bucket").agg(F.sum("have").alias("have"), F.sum("hit").alias("hit")).toArrow()
+    have, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)  # one number for each bucket at most
+    at = summed.column("bucket").to_numpy()
+    have[at], hit[at] = summed.column("have").to_numpy(), summed.column("hit").to_numpy()
+    total = hashed.agg(F.count("*"), F.sum("toxic")).first()
+    n, positive = total[0], total[1] or 0.0
+    wanted = np.union1d(*telling(n, positive, have, hit)) if 0 < positive < n else np.zeros(0, np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(np.isin(np.arange(BUCKETS), wanted))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket, offsets = list_parts(column(batch, "terms"))
+            keep = shared.value[bucket]
+            bounds = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.ListArray.from_arrays(bounds, pa.array(bucket[keep]))], names=["doc_id", "toxic", "terms"])
+
+    # of a row at most the telling terms and ``PAIR_TERMS`` frequent ones
+    found = hashed.mapInArrow(pick, hashed.schema).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")]).combine_chunks()
+    parts = [list_parts(c) for c in found.column("terms").chunks]
+    sizes = np.concatenate([np.zeros(1, np.int64), *(np.diff(o) for _, o in parts)])
+    own = np.concatenate([np.zeros(0, np.int64), *(b for b, _ in parts)]).astype(np.int64)
+    return fit(found.column("toxic").to_numpy(), np.cumsum(sizes), own, counts=(have, hit))
+
+
+def list_parts(column_: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The items of all lists of a column, and the offsets between the lists."""
+    offsets = column_.offsets.to_numpy().astype(np.int64)
+    return column_.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows with each term, and those of them of label one."""
+    have, hit = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for batch in batches:
+        bucket, offsets = list_parts(column(batch, "terms"))
+        have += np.bincount(bucket, minlength=BUCKETS)
+        hit += np.bincount(bucket, np.repeat(column(batch, "toxic").to_numpy(zero_copy_only=False), np.diff(offsets)), BUCKETS)
+    at = np.flatnonzero(have)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(have[at]), pa.array(hit[at])], names=["bucket", "have", "hit"])
 
 
 SCORE = [StructField("score", DoubleType())]

@@ -55,6 +55,40 @@ def test_pairs_matter():
     assert scores[0] > 0.9 and scores[1:].max() < 0.1
 
 
+def test_terms_that_tell_only_together():
+    """Exactly one of two terms: each alone says nothing, so no test of single terms lets it in."""
+    r = np.random.default_rng(1)
+    sets = [{*np.flatnonzero(r.random(2) < 0.5) + 1, *(r.integers(10, 400, 30)).tolist()} for _ in range(3000)]
+    labels = np.array([len(s & {1, 2}) == 1 for s in sets], float)
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    model = toxicity.fit(labels, offsets, np.array([x for s in sets for x in sorted(s)]))
+    known = np.flatnonzero(model.slot >= 0)
+    assert set(known.tolist()) == {1, 2}
+    a, b = model.slot[[1, 2]]
+    scores = model.scores(4, np.array([0, 1, 2, 2]), np.array([a, b, a, b]))
+    assert scores[:2].min() > 0.9 and scores[2:].max() < 0.1
+
+
+def test_pair_statistics():
+    """The matrix form of the pairs' test equals a count of each pair's groups."""
+    r = np.random.default_rng(3)
+    x, y = r.random((700, 12)) < 0.4, None
+    y = ((x[:, 0] ^ x[:, 1]) | (r.random(700) < 0.1)).astype(float)
+    rows, terms_ = np.nonzero(x)
+    rate, out = y.mean(), set()
+
+    def cell(m):
+        return (y[m].sum() - m.sum() * rate) ** 2 / (m.sum() * rate * (1 - rate)) if m.any() else 0.0
+
+    single = [cell(x[:, i]) + cell(~x[:, i]) for i in range(12)]
+    for i in range(12):
+        for j in range(i):
+            a, b = x[:, i], x[:, j]
+            if sum(map(cell, (a & b, a & ~b, ~a & b, ~a & ~b))) - single[i] - single[j] >= toxicity.limit(66) and (a & b).sum() >= toxicity.LEAST_ROWS:
+                out |= {i, j}
+    assert set(toxicity.telling_pairs(y, rows, terms_, 12, chunk=100).tolist()) == out == {0, 1}
+
+
 def test_labels_of_one_kind():
     assert toxicity.fit(np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64)).scores(1, np.zeros(0, int), np.zeros(0, int))[0] < 1e-9
 
