@@ -43,8 +43,8 @@ def label_domain() -> Column:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    found = mixing.mix(docs, labels, TARGETS, label_domain())
-    return found.select("doc_id", "n_tokens", "domain", F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), F.round("rate", 6).alias("rate"))
+    found = mixing.mix(docs, labels, TARGETS, label_domain(), tokenizer=tokenizer_path())
+    return found.select("doc_id", "n_tokens", "domain", F.transform("posterior", lambda x: F.round(x, 6)).alias("posterior"), F.round("rate", 6).alias("rate"), F.round("gap", 6).alias("gap"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

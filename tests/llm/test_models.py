@@ -105,6 +105,59 @@ def test_mixing(tables):
     assert mixing.mix(empty, labels, {"clean": 1.0}, domain).count() == 0
 
 
+def dense(n, p):
+    """Sums of the same descent on the rates themselves, one array entry a document."""
+    rates = []
+
+    def sums(steps):
+        if not steps.vectors:
+            rates[:] = [np.ones(len(n)), np.ones(len(n))]
+        else:
+            new = np.maximum(0, rates[1] - p @ steps.vectors[-1])
+            rates[:] = [new, new + steps.momentum[-1] * (new - rates[0])]
+        own = rates[1] > 0
+        return np.concatenate([[(n * x) @ p for x in rates], (p * n[:, None]).T @ p, (p[own] * n[own, None]).T @ p[own]])
+
+    return rates, sums
+
+
+def test_descent():
+    """Targets inside the reach of nonnegative rates are met in few steps, whatever the mix."""
+    r = np.random.default_rng(0)
+    for k in (2, 4, 7):
+        p = r.dirichlet(np.full(k, 0.2), 3000) * np.linspace(1, 0.02, k)
+        p /= p.sum(1, keepdims=True)
+        n = r.integers(0, 3000, 3000).astype(float)
+        for _ in range(5):
+            goal = n.sum() * (r.dirichlet(np.ones(k)) * 0.5 + 0.5 / k)
+            rates, sums = dense(n, p)
+            done = mixing.descend(sums, goal)
+            assert done.gap <= mixing.TOLERANCE and len(done.vectors) < 60 and (rates[0] >= 0).all(), (k, done.gap, len(done.vectors))
+            assert np.allclose(done.rates(p)[0], rates[0])
+
+
+@pytest.mark.parametrize("targets", [{"clean": 0.9, "toxic": 0.1}, {"clean": 0.4, "toxic": 0.6}, {"clean": 1.0}])
+def test_rates_equal_dense(tables, targets):
+    """Replayed steps give what the same descent gives on arrays; the gap is what is missed."""
+    docs, labels = tables
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    found = mixing.mix(docs, labels, targets, domain, tokenizer=tokenizer_path()).collect()
+    n, p, rate = (np.array([r[c] for r in found], float) for c in ("n_tokens", "posterior", "rate"))
+    goal = n.sum() * np.array([targets.get("clean", 0), targets.get("toxic", 0)])
+    miss = np.abs((n * rate) @ p - goal).max() / n.sum()
+    assert abs(miss - found[0].gap) < 1e-9 and (rate >= 0).all()
+    rates, sums = dense(n, p)
+    mixing.descend(sums, goal)
+    assert np.allclose(rates[0], rate, rtol=1e-5, atol=1e-5) and ("toxic" not in targets or miss <= mixing.TOLERANCE)
+
+
+def test_unreachable_target(tables):
+    """No document is of the domain: the steps end and say how much is missed."""
+    docs, labels = tables
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("toxic") == 0, "clean")
+    assert abs(mixing.mix(docs, labels, {"clean": 0.5, "toxic": 0.2, "none": 0.3}, domain).first().gap - 0.3) < 1e-3
+
+
 _PATTERN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
