@@ -6,8 +6,11 @@
 4. pii: personal data in the texts is replaced by its kind.
 5. mixing: every document gets the rate at which to draw it for the target mix.
 
-Rows whose text is null or empty pass all stages (they hold nothing to reject); extra
-columns pass as they are, whatever their names.
+Rows whose text is null or empty pass all stages (they hold nothing to reject). Rows
+without a doc_id are no copies of each other and stay. Rows of one doc_id and text fare
+alike: near_dedup keeps all or none of them. An empty table gives an empty result. Extra
+columns pass as they are, whatever their names. What a stage writes for itself is
+deleted when its result is written, and that when the next one's is.
 """
 
 from __future__ import annotations
@@ -18,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, mixing, neardup, pii, toxicity
-from corpusloom.llm.queries import TARGETS, label_domain
-from corpusloom.plans.session import materialize, read_table
+from corpusloom.llm.queries import TARGETS, label_domain, tokenizer_path
+from corpusloom.plans.session import drop_path, materialize, read_table, scratch
 
 
 def _fresh(docs: DataFrame, *names: str) -> list[str]:
@@ -65,12 +68,12 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each document's rate and likeliest domain for the target mix."""
+    """Adds each document's rate and likeliest domain for the target mix, and what the mix misses."""
     plain = docs.select("doc_id", "text", *(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)))
     names = [f"_{i}" for i in range(len(docs.columns))]
-    found = mixing.mix(plain, read_table(spark, sf_dir, "labels"), TARGETS, label_domain(), tuple(names))
-    rate, domain = _fresh(docs, "rate", "domain")
-    made = [F.round("rate", 6).alias(rate), F.col("domain").alias(domain)]
+    found = mixing.mix(plain, read_table(spark, sf_dir, "labels"), TARGETS, label_domain(), tuple(names), tokenizer_path())
+    rate, domain, gap = _fresh(docs, "rate", "domain", "gap")
+    made = [F.round("rate", 6).alias(rate), F.col("domain").alias(domain), F.round("gap", 6).alias(gap)]
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), *made)
 
 
@@ -88,9 +91,14 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each is written and read again by the next."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = materialize(docs, name)
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with scratch(spark) as own:
+            docs = own.keep(materialize(stage(spark, docs, sf_dir), name))
+            written = own.paths[-1]
+        if before:
+            drop_path(spark, before)
+        before = written
     return docs
