@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -183,16 +184,69 @@ def test_patterns(text):
     assert pii.base_spans(text) == by_pattern(text)
 
 
-def test_tagger(spark, monkeypatch):
-    model = pii.trained(1600, 6)
-    seen = pii.held_out_accuracy(model, 300)
-    assert seen["precision"] > 0.75 and seen["recall"] > 0.7, seen
-    monkeypatch.setattr(pii, "trained", lambda: model)
+@pytest.fixture(scope="module")
+def tagger():
+    return pii.trained(2400, 6)
+
+
+def whole_texts():
+    """Prose with spans anywhere, also longer than windows overlap, and spelled in words."""
+    r = np.random.default_rng(5)
+    texts = [pii.labelled_text(r, n)[0] for n in (50, 255, 256, 257, 900, 5000)]
+    return [*texts, "", "no data here", "é" * 300 + " write to ann.lee@mail9.example.com now", "w " * 400 + "x@" + "y" * 200 + ".org " + "w " * 400, "call 0049 170 123 4567 or mail joe at corp dot com " * 30, "İ 1.2.3.4 İ 10 . 0 . 0 . 1", "1" * 5000]
+
+
+def test_tagger(tagger):
+    seen = pii.held_out_accuracy(tagger)
+    assert seen["precision"] > 0.7 and seen["recall"] > 0.7, seen
+
+
+def test_windows_lose_nothing(tagger):
+    """Passing over windows that no plausible span can touch changes no result; windows hold every character."""
+    texts = whole_texts()
+    for text, some, every in zip(texts, pii.model_spans(texts, tagger), pii.model_spans(texts, tagger, every=True), strict=True):
+        base = pii.base_spans(text)
+        assert pii.reconciled(text, base, some) == pii.reconciled(text, base, every), text[:80]
+    text, start, end = pii.windows_over(np.array([0, 1, 256, 257, 4000]))
+    for i, n in enumerate((0, 1, 256, 257, 4000)):
+        assert set().union(*(range(a, b) for t, a, b in zip(text, start, end, strict=True) if t == i)) == set(range(n))
+
+
+def test_windows_agree_with_one(tagger):
+    """Spans far from window edges are those of one decoding of the whole text."""
+    texts, hits, same = [pii.labelled_text(np.random.default_rng(i), 1500)[0] for i in range(12)], 0, 0
+    for text, own in zip(texts, pii.model_spans(texts, tagger), strict=True):
+        whole = {(k, a, b) for _, _, k, a, b in pii.tagged(pii.encoded(text), np.array([0]), np.array([len(text)]), tagger)}
+        hits, same = hits + len(whole), same + len(whole & {(k, a, b) for _, k, a, b in own})
+    assert same > 0.95 * hits > 0
+
+
+def test_skipped_decoding_is_outside(tagger):
+    """Windows that the bound calls outside have no span when decoded all the same."""
+    r = np.random.default_rng(8)
+    for lead in (-3.0, 0.0, 2.0):
+        e = r.normal(0, 1, (30, 200, pii.N_TAGS)).astype(np.float32)
+        e[:, :, 1:] += lead - 2
+        quiet = ((e[:, :, 1:].max(2) - e[:, :, 0]) <= tagger.least_to_leave()).all(0)
+        tags, _ = tagger.best_tags(e)
+        assert not tags[quiet].any()
+
+
+def test_find(spark, tagger, monkeypatch):
+    monkeypatch.setattr(pii, "trained", lambda: tagger)
     texts = [None, "", "no data here", "mail a.b@mail9.example.com or +49 170 1234567, card 4111 1111 1111 1111 at 10.0.0.1", "w " * 30_000 + "x@y.zz", "1" * 50_000]
-    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, spans string, n_email int")
+    found = {r.doc_id: r for r in pii.find(docs, ("doc_id", "spans", "n_email")).collect()}
     assert [found[3][f"n_{k}"] for k in pii.KINDS] == [1, 1, 1, 1] and found[4].n_email == 1 and found[0].spans == found[2].spans == ""
     assert found[3].spans.startswith("email:5:26,") and found[5].n_card == 0
-    masked = {r.doc_id: r.masked for r in pii.masked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in rows:
+        want = by_pattern(t or "")
+        text = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in want[k])
+        assert found[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest() and found[i].n_spans == len(found[i].found) >= sum(map(len, want.values()))
+        assert set(filter(None, text.split(","))) <= set(found[i].spans.split(","))
+    assert pii.find(docs.limit(0)).count() == 0
+    masked = {r.doc_id: r.masked for r in pii.masked(docs).collect()}
     assert "mail9" not in masked[3] and "<email>" in masked[3] and masked[0] is None and masked[2] == texts[2]
 
 
@@ -335,11 +389,10 @@ def test_alignment(a, b):
     assert all(p[1] < q[1] for p, q in zip(own, own[1:], strict=False))
 
 
-def test_pipeline(spark, monkeypatch, tmp_path):
+def test_pipeline(spark, monkeypatch, tmp_path, tagger):
     import corpus_pipeline
 
-    model = pii.trained(1600, 6)
-    monkeypatch.setattr(pii, "trained", lambda: model)
+    monkeypatch.setattr(pii, "trained", lambda: tagger)
     rows, labels = documents(300)
     r = np.random.default_rng(9)
     item = " ".join(r.choice([f"b{i}" for i in range(400)], 30))
@@ -350,7 +403,7 @@ def test_pipeline(spark, monkeypatch, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     found = corpus_pipeline.run(spark, str(tmp_path))
-    assert found.columns == [*docs.columns, "rate_", "domain"]
+    assert found.columns == [*docs.columns, "rate_", "domain", "gap"]
     kept = {r.doc_id: r for r in found.collect()}
     assert {i for i in range(300) if i in kept} == {i for i in range(300) if i % 5}
     assert {700, 704, 705, 706} <= set(kept) and not {701, 702, 703} & set(kept)
