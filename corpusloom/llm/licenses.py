@@ -5,35 +5,55 @@ both are anchors, the longest increasing subsequence of their places keeps the o
 and the gaps between anchors are aligned in the same way, after equal words at their
 ends. A template's coverage is the share of its words that are aligned.
 
-A long text may hold a template anywhere, and a word that is unique in a template may
-be frequent in a long text. So a template is aligned within stretches of the text: the
-places where ``GRAM`` words of it occur in a row, no farther apart than the template
-is long, with a template's length on either side. Where the grams' places in the template
-fall back, the template may stand again; a stretch is aligned in the parts between such
-places too. Parts that hold more than half of the template are copies of it; where two
-are, a better coverage of the whole stretch is one more match. Else it takes the place of
-the parts that it overlaps. A text without any such place holds
-no run of ``GRAM`` words of any template, and nothing is aligned.
-
-Edge cases: null or empty text has no license; repeated rows each get a row; texts may
-have any length; of templates with equal coverage the first by name is reported.
+A match is a copy of a template in which at most as many foreign words stand as the
+template has words, with a coverage of ``THRESHOLD`` or more. A long text may hold one
+anywhere, and a word that is unique in a template may be frequent in a long text. So a
+template is aligned in stretches of the text. They are found by counting: in any match so
+many of the template's words are aligned that, whichever are not, a known number of its
+less common ones must lie within twice the template's length. Places where so many do are
+found for all texts of a batch at once; they and a template's length on either side are a
+stretch, and no match lies outside. Where the places of ``GRAM`` words in a row fall back
+in the template, it may stand again; a stretch is aligned in the parts between such places
+too. Parts that hold more than half of the template are copies of it; where two are, a
+better coverage of the whole stretch is one more match. Else it takes the place of the
+parts that it overlaps.
+
+Edge cases: null or empty text has no license; without a match license is null, coverage
+and words aligned are 0; repeated rows each get a row; texts may have any length; of
+matches with equal coverage the one of more words is reported, then the first by name;
+other columns are ignored unless kept, and a made column replaces a kept one of its name.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from math import ceil
 
-import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from corpusloom.llm.arrays import column, map_text
+from corpusloom.llm.arrays import PrefixHash, column, map_text, mixed, words_of
 from corpusloom.llm.decontaminate import normalised
 
-#: Notices that public licenses ask to be kept, and their short forms.
+#: Words so common in any text that they do not help to find a template.
+COMMON = frozenset("a an and any at be by for from in is it of on or that the this to was with".split())
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+_BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC_TAIL = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+
+#: Whole texts of public licenses, notices that they ask to be kept, and short forms.
 TEMPLATES = {
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_TAIL,
+    "bsd-2-clause": _BSD_HEAD + _BSD_TAIL,
+    "bsd-3-clause": _BSD_HEAD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_TAIL,
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_TAIL,
+    "mit-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. ' + _AS_IS + "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS + "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -90,38 +110,61 @@ def align(text: list[bytes], template: list[bytes]) -> list[Pair]:
     return sorted(found)
 
 
+Match = tuple[str, float, int, int, int]  #: template, coverage, words aligned, first word, word after the last
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word of normalised texts, and how many words lie before each text."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    rows = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    starts, ends, first = words_of(data, rows)
+    return (mixed(PrefixHash(data).of(starts, ends)) if len(data) else np.zeros(0, np.uint64)), first
+
+
 class Scanner:
-    """Templates ready to be found: their words, and the grams that point to them."""
+    """Templates ready to be found: their words, the fewest that a match must hold, their grams."""
 
-    def __init__(self, templates: dict[str, str], gram: int = GRAM):
-        self.gram = gram
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, threshold: float = THRESHOLD):
+        self.gram, self.threshold = gram, threshold
         self.words = {name: normalised(t.encode()).split() for name, t in sorted(templates.items())}
-        self.grams: dict[bytes, list[str]] = {}
+        self.words = {name: own for name, own in self.words.items() if own}
         self.at: dict[tuple[str, bytes], list[int]] = {}
+        self.known = np.unique(hashed_words([b" ".join(w for own in self.words.values() for w in own)])[0])
+        self.tables: dict[str, tuple[np.ndarray, int]] = {}
         for name, own in self.words.items():
             for i in range(len(own) - gram + 1):
-                g = b" ".join(own[i : i + gram])
-                self.at.setdefault((name, g), []).append(i)
-                names = self.grams.setdefault(g, [])
-                if name not in names:
-                    names.append(name)
-        self.search = ahocorasick.Automaton()
-        for g in self.grams:
-            self.search.add_word(f" {g.decode('latin-1')} ", g)
-        if self.grams:
-            self.search.make_automaton()
-
-    def places(self, plain: bytes) -> dict[str, list[tuple[int, bytes]]]:
-        """Numbers of words at which a gram of each template begins, and the grams."""
-        out: dict[str, list[tuple[int, bytes]]] = {}
-        if not self.grams or not plain:
+                self.at.setdefault((name, b" ".join(own[i : i + gram])), []).append(i)
+            rare = [w for w in own if w.decode() not in COMMON]
+            lost = len(own) - ceil(threshold * len(own) - 1e-9)  # words that a match may lack
+            chosen = rare if len(rare) > lost else own
+            table = np.zeros(len(self.known) + 1, bool)
+            table[np.searchsorted(self.known, hashed_words([b" ".join(chosen)])[0])] = True
+            table[-1] = False
+            self.tables[name] = (table, len(chosen) - lost)
+
+    def stretches(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[str, int, int]]]:
+        """By text the (template, first word, word after the last) within which its matches lie."""
+        out: dict[int, list[tuple[str, int, int]]] = {}
+        if not len(self.known):
             return out
-        framed, words, at = f" {plain.decode('latin-1')} ", 0, 0
-        for end, gram in self.search.iter(framed):
-            words += framed.count(" ", at, end)  # of the gram's last word, counted from 1
-            at = end
-            for name in self.grams[gram]:
-                out.setdefault(name, []).append((words - self.gram, gram))
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        known = np.flatnonzero(self.known[at] == hashes)
+        code, text = at[known], np.searchsorted(first, known, "right") - 1
+        for name, (table, need) in self.tables.items():
+            own = table[code]
+            place, of = known[own], text[own]
+            if len(place) < need:
+                continue
+            size, last = len(self.words[name]), len(place) - need + 1
+            near = np.flatnonzero((place[need - 1 :] - place[:last] < 2 * size) & (of[need - 1 :] == of[:last]))
+            for i in near.tolist():
+                t = int(of[i])
+                low, high = max(int(first[t]), int(place[i]) - size), min(int(first[t + 1]), int(place[i + need - 1]) + 1 + size)
+                mine = out.setdefault(t, [])
+                if mine and mine[-1][0] == name and low - first[t] <= mine[-1][2]:
+                    mine[-1] = (name, mine[-1][1], max(mine[-1][2], high - int(first[t])))
+                else:
+                    mine.append((name, low - int(first[t]), high - int(first[t])))
         return out
 
     def parts(self, name: str, own: list[tuple[int, bytes]]) -> list[list[int]]:
@@ -138,34 +181,28 @@ class Scanner:
             out[-1].append(place)
         return out
 
-    def scan(self, plain: bytes) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, words aligned, first word, word after the last), best first."""
-        places = self.places(plain)
-        if not places:
-            return []
-        words, out = plain.split(), []
-        for name, own in places.items():
-            size, at = len(self.words[name]), 0
-            while at < len(own):
-                to = at + 1
-                while to < len(own) and own[to][0] - own[to - 1][0] <= size:
-                    to += 1
-                out += self.stretch(name, words, own[at:to])
-                at = to
-        return sorted(out, key=lambda x: (-x[1], x[0], x[3]))
-
-    def stretch(self, name: str, words: list[bytes], own: list[tuple[int, bytes]]) -> list[tuple[str, float, int, int, int]]:
+    def scan(self, texts: list[bytes]) -> list[list[Match]]:
+        """Matches of the threshold or more in each normalised text, best first."""
+        found: list[list[Match]] = [[] for _ in texts]
+        for t, own in self.stretches(*hashed_words(texts)).items():
+            words = texts[t].split()
+            every = [m for s in own for m in self.stretch(s[0], words, s[1], s[2]) if m[1] >= self.threshold]
+            found[t] = sorted(set(every), key=lambda x: (-x[1], -x[2], x[0], x[3]))
+        return found
+
+    def stretch(self, name: str, words: list[bytes], low: int, high: int) -> list[Match]:
         """Matches of one stretch; none overlap but that of a stretch of several copies."""
         template = self.words[name]
         size = len(template)
+        grams = (b" ".join(words[i : i + self.gram]) for i in range(low, high - self.gram + 1))
+        own = [(i, g) for i, g in enumerate(grams, low) if (name, g) in self.at]
 
-        def match(low: int, high: int) -> list[tuple[str, float, int, int, int]]:
+        def match(low: int, high: int) -> list[Match]:
             pairs = align(words[low:high], template)
             return [(name, len(pairs) / size, len(pairs), low + pairs[0][0], low + pairs[-1][0] + 1)] if pairs else []
 
-        low, high = max(0, own[0][0] - size), min(len(words), own[-1][0] + self.gram + size)
         parts = self.parts(name, own)
-        if len(parts) == 1:
+        if len(parts) <= 1:
             return match(low, high)
         found = []
         for i, part in enumerate(parts):
@@ -175,7 +212,7 @@ class Scanner:
         whole, several = match(low, high), sum(2 * f[2] > size for f in found) > 1
         if not several:
             found += whole
-        out: list[tuple[str, float, int, int, int]] = []
+        out: list[Match] = []
         taken: list[Pair] = []  # in order, apart
         for f in sorted(found, key=lambda x: (-x[1], x[4] - x[3], x[3])):
             k = bisect_left(taken, (f[3], f[4]))
@@ -195,25 +232,43 @@ FIELDS = [
 ]
 
 
+_scanners: dict[tuple, Scanner] = {}
+
+
+def _scanner(templates: tuple[tuple[str, str], ...], threshold: float) -> Scanner:
+    """Made once in each worker process."""
+    if (templates, threshold) not in _scanners:
+        _scanners.clear()
+        _scanners[templates, threshold] = Scanner(dict(templates), threshold=threshold)
+    return _scanners[templates, threshold]
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Per row: the template of the best coverage, and all matches of ``threshold`` or more.
+    """Per row: the best match, and all matches, which have a coverage of ``threshold`` or more.
 
-    ``license`` is null below the threshold; starts and ends count the text's words.
+    Starts and ends count the text's words.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
+    chosen = tuple((TEMPLATES if templates is None else templates).items())
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        scanner = Scanner(chosen)
+        texts = [normalised(t) for t in column(batch, "text").cast(pa.binary()).to_pylist()]
         out: dict[str, list] = {f.name: [] for f in FIELDS}
-        for text in column(batch, "text").cast(pa.binary()).to_pylist():
-            plain = normalised(text)
-            found = scanner.scan(plain)
-            good = [f for f in found if f[1] >= threshold]
+        for plain, good in zip(texts, _scanner(chosen, threshold).scan(texts), strict=True):
             out["n_words"].append(plain.count(b" ") + bool(plain))
             out["license"].append(good[0][0] if good else None)
-            out["coverage"].append(found[0][1] if found else 0.0)
-            out["n_aligned"].append(found[0][2] if found else 0)
+            out["coverage"].append(good[0][1] if good else 0.0)
+            out["n_aligned"].append(good[0][2] if good else 0)
             out["matches"].append([{"license": n, "coverage": c, "start": a, "end": b} for n, c, _, a, b in good])
         return out
 
     return map_text(docs, list(keep), FIELDS, work)
+
+
+def longest_common(text: list[bytes], template: list[bytes]) -> int:
+    """Words of a longest common subsequence, by the plain table: what no alignment exceeds."""
+    row = [0] * (len(template) + 1)
+    for w in text:
+        before = 0
+        for j, v in enumerate(template, 1):
+            before, row[j] = row[j], (before + 1 if v == w else max(row[j], row[j - 1]))
+    return row[-1]

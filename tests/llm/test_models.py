@@ -367,10 +367,55 @@ def test_repeated_licenses():
             for n in (1, 2, 3):
                 text = b"some words before " + b" ".join([own + between] * n) + b" and some after"
                 step = size + between.count(b" ")
-                found = [f for f in scanner.scan(text) if f[0] == name]
+                found = sorted((f for f in scanner.scan([text])[0] if f[0] == name), key=lambda f: f[3])
                 assert found == [(name, 1.0, size, 3 + step * i, 3 + step * i + size) for i in range(n)]
 
 
+def test_stretches_lose_no_match():
+    """Wherever a plain table aligns enough of a template in twice its length, a stretch holds it."""
+    r = np.random.default_rng(6)
+    templates = {n: licenses.TEMPLATES[n] for n in ("mit", "cc-by-4.0", "mit-notice", "apache-2.0-notice", "gpl-3.0-notice")}
+    scanner, hits = licenses.Scanner(templates), 0
+    for trial in range(60):
+        name = list(templates)[trial % 5]
+        own = scanner.words[name]
+        copy = [w for w in own if r.random() > r.choice([0.05, 0.15, 0.3])]
+        for _ in range(int(r.integers(0, len(own) // 3 + 1))):
+            copy.insert(int(r.integers(len(copy) + 1)), bytes(r.choice([b"foo", b"the", own[0], b"of"])))
+        text = [*r.choice([b"the", b"of", b"x", b"license"], int(r.integers(0, 60))), *copy, *r.choice([b"this", b"y"], int(r.integers(0, 60)))]
+        window = copy[: 2 * len(own)]
+        enough = licenses.longest_common(window, own) >= scanner.threshold * len(own)
+        found = scanner.scan([b" ".join(map(bytes, text))])[0]
+        held = scanner.stretches(*licenses.hashed_words([b" ".join(map(bytes, text))])).get(0, [])
+        if enough and len(copy) <= 2 * len(own):
+            hits += 1
+            assert any(n == name for n, _, _ in held), name
+        for n, coverage, aligned, a, b in found:
+            template = scanner.words[n]
+            assert aligned <= licenses.longest_common(list(map(bytes, text[a:b])), template) and abs(coverage - aligned / len(template)) < 1e-9
+    assert hits > 20
+
+
+def test_alignment_of_unique_words():
+    """Where no word repeats, patience alignment is a longest common subsequence."""
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        a, b = ([str(x).encode() for x in r.permutation(14)[: r.integers(0, 15)]] for _ in range(2))
+        assert len(licenses.align(a, b)) == licenses.longest_common(a, b)
+
+
+def test_license_edges(spark):
+    """Whole licenses, ties, an empty table and columns whose names clash."""
+    whole = licenses.TEMPLATES["bsd-3-clause"]
+    rows = [(1, whole, "x", 0.5), (2, licenses.TEMPLATES["mit-full"] * 2, "x", 0.5), (3, None, "x", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string, coverage double")
+    found = {r.doc_id: r for r in licenses.scan(docs, keep=("doc_id", "license")).collect()}
+    assert found[1].license == "bsd-3-clause" and found[1].coverage == 1.0 and found[2].license == "mit-full" and len([m for m in found[2].matches if m.license == "mit-full"]) == 2
+    assert found[3].license is None and found[3].coverage == 0.0 and licenses.scan(docs.limit(0)).count() == 0
+    two = licenses.Scanner({"b": "one two three four", "a": "one two three four"})
+    assert [m[0] for m in two.scan([b"one two three four"])[0]] == ["a", "b"] and licenses.Scanner({"none": ""}).scan([b"x"]) == [[]]
+
+
 def test_licenses(spark):
     apache = licenses.TEMPLATES["apache-2.0-notice"]
     texts = [None, "", "plain words", "Released under the MIT License.", "# " + apache.replace("may not", "can not").replace(",", " ;"), "released under the " + "x " * 40 + "MIT license", "w " * 5000 + apache + " w" * 5000]
