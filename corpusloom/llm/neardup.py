@@ -34,7 +34,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField
 
 from corpusloom.llm.arrays import SPACES, PrefixHash, byte_view, column, gather, gram_hashes, lower_ascii, map_text, mixed, words_of
 from corpusloom.operators.components import connected_components
-from corpusloom.plans.session import materialize, shuffle_partitions
+from corpusloom.plans.session import Scratch, materialize, scratch, shuffle_partitions
 
 SHINGLE = 5
 TREES, DEPTH, START = 16, 8, 4
@@ -260,8 +260,13 @@ def meeting_links(table: pa.Table) -> pa.Table:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document."""
+    with scratch(docs.sparkSession) as own:
+        return _near_duplicates(docs, own)
+
+
+def _near_duplicates(docs: DataFrame, own: Scratch) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = materialize(map_text(plain, ["doc_id"], SET_FIELDS, _sets), "sets")
+    sets = own.keep(materialize(map_text(plain, ["doc_id"], SET_FIELDS, _sets), "sets"))
     linkable = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     owners = materialize(linkable.groupBy("set_key").agg(F.min("doc_id").alias("node")), "owners")
     named = linkable.withColumn("node", F.col("doc_id")).join(owners, ["set_key", "node"]).select("node", F.col("n_shingles").alias("n"), "signature")
@@ -277,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)), "components")
 
     # written, so that a join with many copies of one set may split them over tasks
-    grouped = materialize(owners.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "grouped")
+    grouped = own.keep(materialize(owners.join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component")), "grouped"))
     return (
         sets.select("doc_id", "n_shingles", "set_key")
         .join(grouped, "set_key", "left")

@@ -3,6 +3,10 @@
 A map task sends each bucket one row per batch of texts. It holds the bucket's
 strings, each distinct one once, and where they occur (row of the document, place).
 Copies thus combine before the shuffle, and a bucket's rows are few and large.
+
+With more buckets a row gets smaller, and small values compress badly by themselves. So
+every compressor knows some text of the same table beforehand, of ``SAMPLE`` bytes at
+most; that changes sizes, never results.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
-from corpusloom.llm.arrays import binary_array, byte_view, column, gather, map_text
+from corpusloom.llm.arrays import binary_array, byte_view, column, gather, map_text, sliding_min
 from corpusloom.plans.session import shuffle_partitions
 
 #: Bytes of text for each bucket: what one task holds at a time grows with this only.
@@ -26,13 +30,37 @@ BUCKET_BYTES = 6 << 20
 MOST = np.iinfo(np.int64).max
 
 
-def pack(*arrays: np.ndarray, level: int = 6) -> bytes:
+#: Rows and bytes of text that compressors know beforehand.
+SAMPLE_ROWS, SAMPLE = 256, 1 << 17
+_codecs: dict[tuple[int, bytes], tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]] = {}
+
+
+def known_text(docs: DataFrame) -> bytes:
+    """Beginnings of a few texts of the table, for the compressors."""
+    rows = docs.where(F.octet_length("text") > 100).select(F.substring("text", 1, SAMPLE // 64).alias("t")).limit(SAMPLE_ROWS).collect()
+    return b"\n".join(r.t.encode("utf-8", "replace") for r in rows)[:SAMPLE]
+
+
+def codec(known: bytes, level: int = 6) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """A compressor that knows some text, and its counterpart; made once in each worker."""
+    key = (level, known)
+    if key not in _codecs:
+        if len(_codecs) > 8:
+            _codecs.clear()
+        text = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(known) > 8 else None
+        if text:
+            text.precompute_compress(level=level)
+        _codecs[key] = zstandard.ZstdCompressor(level=level, dict_data=text), zstandard.ZstdDecompressor(dict_data=text)
+    return _codecs[key]
+
+
+def pack(*arrays: np.ndarray, known: bytes = b"", level: int = 6) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=level).compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
+    return codec(known, level)[0].compress(b"".join([sizes.tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)]))
 
 
-def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+def unpack(blob: bytes, *types: type, known: bytes = b"") -> list[np.ndarray]:
+    raw = np.frombuffer(codec(known)[1].decompress(blob), np.uint8)
     sizes, at, out = raw[: 8 * len(types)].view(np.int64), 8 * len(types), []
     for size, kind in zip(sizes.tolist(), types, strict=True):
         out.append(np.frombuffer(raw[at : at + size].tobytes(), kind))
@@ -40,25 +68,39 @@ def unpack(blob: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
+#: Bytes or words of a text that are worked on at a time; places within fit in ``PLACE``.
+SEGMENT = 4 << 20
+PLACE = np.uint64((1 << 24) - 1)
+
+
+def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Of every ``width`` consecutive hashes the place of the least, the first of equal ones.
+
+    The hash counts without its last bits, whatever the number of hashes, so equal windows
+    choose alike wherever they stand. There are at most ``PLACE`` hashes.
+    """
+    return (sliding_min((hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64), width) & PLACE).astype(np.int64)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text, _key): the key tells rows apart by id and text."""
     plain = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return plain.withColumn("_key", F.xxhash64(F.col("doc_id").cast("string"), "text"))
 
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
+def in_blocks(docs: DataFrame, blocks: int, known: bytes) -> DataFrame:
     """(doc_id, _key, packed, block) of keyed documents: texts compressed for the way."""
 
     def work(batch: pa.RecordBatch) -> dict[str, object]:
-        c = zstandard.ZstdCompressor(level=3)
+        c = codec(known, 3)[0]
         return {"packed": [c.compress(t) for t in column(batch, "text").cast(pa.binary()).to_pylist()]}
 
     packed = map_text(docs, ["doc_id", "_key"], [StructField("packed", BinaryType())], work)
     return packed.withColumn("block", F.pmod("_key", F.lit(blocks)))
 
 
-def unpacked_texts(table: pa.Table) -> list[bytes]:
-    d = zstandard.ZstdDecompressor()
+def unpacked_texts(table: pa.Table, known: bytes) -> list[bytes]:
+    d = codec(known, 3)[1]
     return [d.decompress(t) for t in table.column("packed").to_pylist()]
 
 
@@ -83,7 +125,7 @@ class Strings:
 
 
 def pack_buckets(
-    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, marks: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, tagged: bool = True, most: int = 16 << 20
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray, tags: np.ndarray, marks: np.ndarray, doc: np.ndarray, place: np.ndarray, ids: np.ndarray, keys: np.ndarray, buckets: int, tagged: bool = True, known: bytes = b"", most: int = 16 << 20
 ) -> Iterator[tuple[int, bytes]]:
     """(bucket, packed strings) of occurrences ``data[starts:ends]``, by their tags.
 
@@ -110,13 +152,13 @@ def pack_buckets(
             body, cuts = gather(own, offsets[mine], offsets[mine + 1])
             inside = members[np.searchsorted(coded_at, a) : np.searchsorted(coded_at, z)]
             rows, local = np.unique(doc[at:to][inside], return_inverse=True)
-            yield b, pack(body, np.diff(cuts).astype(np.int32), tags[at:to][mine] * np.uint64(tagged), marks[at:to][mine].astype(np.int32), (number[code[inside]] - a).astype(np.int32), local.astype(np.int32), place[at:to][inside], ids[rows], keys[rows])
+            yield b, pack(body, np.diff(cuts).astype(np.int32), tags[at:to][mine] * np.uint64(tagged), marks[at:to][mine].astype(np.int32), (number[code[inside]] - a).astype(np.int32), local.astype(np.int32), place[at:to][inside], ids[rows], keys[rows], known=known)
         at = to
 
 
-def unpack_bucket(blobs: list[bytes]) -> Strings:
+def unpack_bucket(blobs: list[bytes], known: bytes = b"") -> Strings:
     """All strings of a bucket, each distinct one once over all its rows."""
-    parts = [unpack(b, np.uint8, np.int32, np.uint64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64) for b in blobs]
+    parts = [unpack(b, np.uint8, np.int32, np.uint64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int64, known=known) for b in blobs]
     join = lambda i: np.concatenate([p[i] for p in parts])
     sizes = join(1).astype(np.int64)
     base = np.cumsum([0, *(len(p[1]) for p in parts)])
@@ -139,6 +181,8 @@ def unpack_bucket(blobs: list[bytes]) -> Strings:
 
 def pack_ranges(key: np.ndarray, a: np.ndarray, b: np.ndarray, blocks: int) -> Iterator[tuple[int, bytes]]:
     """(block, packed ranges) of documents' ranges, by the block of their keys."""
+    if not len(key):
+        return
     block = np.mod(key, blocks)
     order = np.lexsort((a, key, block))
     names, begins = np.unique(block[order], return_index=True)

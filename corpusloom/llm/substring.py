@@ -9,7 +9,7 @@ to remove then travel to the block of their document.
 
 Edge cases: null or empty text, or fewer words than a window, loses nothing; a null
 doc_id counts as larger than any other; rows with one doc_id do not dedup each other;
-repeated rows each get a row; a text may have any length.
+repeated rows each get a row; a text may have any length, and is worked on in segments.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.arrays import PrefixHash, byte_view, column, gather, gram_hashes, mixed, pieces, sliding_min, words_of
-from corpusloom.llm.packing import MOST, Strings, blob_rows, blobs_of, bucket_count, in_blocks, keyed, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
+from corpusloom.llm.arrays import PrefixHash, byte_view, column, gather, gram_hashes, mixed, pieces, words_of
+from corpusloom.llm.packing import MOST, SEGMENT, Strings, anchors, blob_rows, blobs_of, bucket_count, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
 
 GRAM = 3
 
@@ -37,11 +37,8 @@ def super_kmers(data: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.nda
     joined[np.arange(len(body)) + np.repeat(np.arange(len(wide)), wide)] = body
     grams = gram_hashes(PrefixHash(body).of(offsets[:-1], offsets[1:]), GRAM)
     span = window - GRAM + 1
-    bits = max(1, int(len(grams)).bit_length())
-    tail = np.uint64((1 << bits) - 1)
-    low = sliding_min((grams & ~tail) | np.arange(len(grams), dtype=np.uint64), span)
-    anchor = (low & tail).astype(np.int64)
-    valid = np.zeros(len(low) + 1, np.int64)
+    anchor = anchors(grams, span)
+    valid = np.zeros(len(anchor) + 1, np.int64)
     sizes = np.diff(first)
     long = sizes >= window
     np.add.at(valid, first[:-1][long], 1)
@@ -58,6 +55,21 @@ def super_kmers(data: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.nda
     return joined, spaced[a], spaced[z] + wide[z], grams[anchor[a]], row[new], a - first[row[new]]
 
 
+def segments(data: np.ndarray, rows: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets of rows, words before): a very long text in parts that share ``window`` - 1 words."""
+    if len(data) <= 2 * SEGMENT:
+        yield data, rows, 0
+        return
+    starts, ends, first = words_of(data, rows)
+    step = SEGMENT // 4
+    for row in range(len(rows) - 1):  # long texts come one at a time
+        for at in range(int(first[row]), max(int(first[row]) + 1, int(first[row + 1]) - window + 1), step):
+            to = min(int(first[row + 1]), at + step + window - 1)
+            if to > at:
+                a, z = int(starts[at]), int(ends[to - 1])
+                yield data[a:z], np.concatenate([np.zeros(row + 1, np.int64), np.full(len(rows) - 1 - row, z - a)]), at - int(first[row])
+
+
 def window_owners(strings: Strings, window: int, chunk: int = 2 << 20) -> tuple[np.ndarray, np.ndarray]:
     """The smallest doc_id of every window of every string, and offsets by string."""
     n = len(strings.offsets) - 1
@@ -133,22 +145,23 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     ``kept`` joins the remaining words by single spaces.
     """
     docs = keyed(docs)
-    buckets = bucket_count(docs)
+    buckets, known = bucket_count(docs), known_text(docs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 4 << 20):
-                joined, a, z, tags, row, place = super_kmers(*byte_view(column(batch, "text")), window)
                 ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
-                yield blob_rows(pack_buckets(joined, a, z, mixed(tags), np.zeros(len(a), np.int64), row, place, ids, keys, buckets, tagged=False), "bucket")
+                for data, rows, before in segments(*byte_view(column(batch, "text")), window):
+                    joined, a, z, tags, row, place = super_kmers(data, rows, window)
+                    yield blob_rows(pack_buckets(joined, a, z, mixed(tags), np.zeros(len(a), np.int64), row, place + before, ids, keys, buckets, tagged=False, known=known), "bucket")
 
     def count(table: pa.Table) -> pa.Table:
-        found = ranges_to_remove(unpack_bucket(blobs_of(table)), window)
+        found = ranges_to_remove(unpack_bucket(blobs_of(table), known), window)
         return pa.Table.from_batches([blob_rows(pack_ranges(*found, buckets), "block")])
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_words": [], "n_removed": [], "kept": []}
-        texts = unpacked_texts(left)
+        texts = unpacked_texts(left, known)
         row, a, b = row_ranges(numbers(left.column("_key"), 0), blobs_of(right))
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         for i, text in enumerate(texts):
@@ -167,7 +180,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     packed = docs.mapInArrow(split, "bucket long, blob binary")
     ranges = packed.groupBy("bucket").applyInArrow(count, "block long, blob binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_blocks(docs, buckets).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return in_blocks(docs, buckets, known).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def brute_force(documents: list[tuple[int, str | None]], window: int = 13) -> dict[int, tuple[int, int, str]]:

@@ -13,7 +13,7 @@ that distance and the same suffix for the rest: neighbours in both sorted orders
 
 Edge cases: null or empty text, or fewer bytes than ``length``, loses nothing; rows
 with one doc_id are documents of their own, so exact copies lose all; a text may have
-any length, and matches never cross documents.
+any length, and is worked on in segments; matches never cross documents.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.arrays import _BASE, PrefixHash, byte_view, column, gather, mixed, pieces, sliding_min, union_ranges
-from corpusloom.llm.packing import MOST, Strings, blob_rows, blobs_of, bucket_count, in_blocks, keyed, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
+from corpusloom.llm.arrays import _BASE, PrefixHash, byte_view, column, gather, mixed, pieces, union_ranges
+from corpusloom.llm.packing import MOST, SEGMENT, Strings, anchors, blob_rows, blobs_of, bucket_count, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
 
 GRAM = 41
 _ALL = (1 << 64) - 1
@@ -38,9 +38,7 @@ def anchored_strings(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[n
     if len(data) < length:
         return none, none, none.astype(np.uint64), none, none
     hashes = mixed(PrefixHash(data).every(GRAM))
-    bits = max(1, int(len(hashes)).bit_length())
-    tail = np.uint64((1 << bits) - 1)
-    anchor = (sliding_min((hashes & ~tail) | np.arange(len(hashes), dtype=np.uint64), length - GRAM + 1) & tail).astype(np.int64)
+    anchor = anchors(hashes, length - GRAM + 1)
     valid = np.zeros(len(anchor) + 1, np.int32)
     long = np.diff(rows) >= length
     np.add.at(valid, rows[:-1][long], 1)
@@ -56,6 +54,17 @@ def anchored_strings(data: np.ndarray, rows: np.ndarray, length: int) -> tuple[n
     return a, z, hashes[anchor[a]], anchor[a] - a, np.searchsorted(rows, a, "right") - 1
 
 
+def segments(data: np.ndarray, rows: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(bytes, offsets of rows, bytes before): a very long text in parts that share ``length`` - 1 bytes."""
+    if len(data) <= 2 * SEGMENT:
+        yield data, rows, 0
+        return
+    for row in range(len(rows) - 1):  # long texts come one at a time
+        for at in range(int(rows[row]), max(int(rows[row]) + 1, int(rows[row + 1]) - length + 1), SEGMENT):
+            to = min(int(rows[row + 1]), at + SEGMENT + length - 1)
+            yield data[at:to], np.concatenate([np.zeros(row + 1, np.int64), np.full(len(rows) - 1 - row, to - at)]), at - int(rows[row])
+
+
 class Extensions:
     """Common extensions of places of an array, by hashes and then by bytes."""
 
@@ -183,23 +192,23 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     ``kept`` is binary: what remains may begin inside a character.
     """
     docs = keyed(docs)
-    buckets = bucket_count(docs)
+    buckets, known = bucket_count(docs), known_text(docs)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 3 << 20):
-                data, rows = byte_view(column(batch, "text"))
-                a, z, tags, marks, row = anchored_strings(data, rows, length)
                 ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
-                yield blob_rows(pack_buckets(data, a, z, mixed(tags), marks, row, a - rows[row], ids, keys, buckets), "bucket")
+                for data, rows, before in segments(*byte_view(column(batch, "text")), length):
+                    a, z, tags, marks, row = anchored_strings(data, rows, length)
+                    yield blob_rows(pack_buckets(data, a, z, mixed(tags), marks, row, a - rows[row] + before, ids, keys, buckets, known=known), "bucket")
 
     def sort(table: pa.Table) -> pa.Table:
-        found = repeats(unpack_bucket(blobs_of(table)), length)
+        found = repeats(unpack_bucket(blobs_of(table), known), length)
         return pa.Table.from_batches([blob_rows(pack_ranges(*found, buckets), "block")])
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-        texts = unpacked_texts(left)
+        texts = unpacked_texts(left, known)
         row, a, b = row_ranges(numbers(left.column("_key"), 0), blobs_of(right))
         bounds = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         for i, text in enumerate(texts):
@@ -218,7 +227,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     packed = docs.mapInArrow(split, "bucket long, blob binary")
     ranges = packed.groupBy("bucket").applyInArrow(sort, "block long, blob binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_blocks(docs, buckets).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return in_blocks(docs, buckets, known).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def brute_force(documents: list[tuple[object, str | None]], length: int = 400) -> list[tuple[object, int, int, int, bytes]]:

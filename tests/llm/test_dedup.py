@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import decontaminate, neardup, substring, suffixes
+from corpusloom.llm import decontaminate, neardup, packing, substring, suffixes
 from corpusloom.llm.arrays import PrefixHash, byte_view, sliding_min, union_ranges, words_of
 
 R = np.random.default_rng(4)
@@ -46,6 +46,63 @@ def test_suffixes(docs):
     assert got == want
 
 
+@pytest.mark.parametrize("segment", [40, 700])
+def test_segments(monkeypatch, segment):
+    """Texts longer than a segment are cut, and every window lies in exactly one part."""
+    long = prose(400, [f"w{i}" for i in range(60)])
+    texts = [long, "x " + long[300:1500] + " y", "", None, long[5:] * 2, "z" * 900]
+    for module in (suffixes, substring):
+        monkeypatch.setattr(module, "SEGMENT", segment)
+        assert len(list(module.segments(*byte_view(pa.array([long])), 13))) > 1
+    for text in texts:
+        data, rows = byte_view(pa.array([text], pa.string()))
+        for length in (60, 400):
+            starts = set()
+            for part, own, before in suffixes.segments(data, rows, length):
+                a, z, *_ = suffixes.anchored_strings(part, own, length)
+                for x, y in zip(a.tolist(), z.tolist(), strict=True):
+                    here = set(range(x + before, y + before - length + 1))
+                    assert not here & starts and part[x:y].tobytes() == data[x + before : y + before].tobytes()
+                    starts |= here
+            assert starts == set(range(max(0, len(data) - length + 1)))
+        words, seen = bytes(data).split(), set()
+        for part, own, before in substring.segments(data, rows, 13):
+            joined, a, z, _, _, place = substring.super_kmers(part, own, 13)
+            for x, y, k in zip(a.tolist(), z.tolist(), place.tolist(), strict=True):
+                own_words = joined[x:y].tobytes().split()
+                assert own_words == words[k + before : k + before + len(own_words)]
+                here = set(range(k + before, k + before + len(own_words) - 12))
+                assert not here & seen
+                seen |= here
+        assert seen == set(range(max(0, len(words) - 12)))
+
+
+def test_anchors_are_alike():
+    """Equal windows choose equal places, however many hashes stand around them, ties included."""
+    for data in (np.array([5, 5, 5, 5, 9, 5, 5], np.uint64) << np.uint64(40), R.integers(0, 4, 300).astype(np.uint64) << np.uint64(30)):
+        alone = packing.anchors(data, 3)
+        for pad in (1, 1000, 70_000):
+            assert (packing.anchors(np.concatenate([np.arange(pad, dtype=np.uint64) << np.uint64(50), data]), 3)[pad:] - pad == alone).all()
+
+
+def test_known_text_changes_nothing():
+    parts = [np.arange(50), np.frombuffer(b"some text that the dictionary has" * 4, np.uint8)]
+    for known in (b"", b"short", b"some text that the dictionary has, and more" * 20):
+        back = packing.unpack(packing.pack(*parts, known=known), np.int64, np.uint8, known=known)
+        assert all((x == y).all() for x, y in zip(parts, back, strict=True))
+
+
+def test_boilerplate_everywhere(spark):
+    """One passage in every row, as the first place of many others: nothing is lost."""
+    line = prose(80, [f"b{i}" for i in range(300)])
+    rows = [(i, f"{prose(12)} {line} {prose(12)}" if i % 3 else f"{line} {line}") for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = substring.brute_force(rows)
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(df).collect()} == want
+    want = {r[0]: r[1:] for r in suffixes.brute_force(rows)}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.suffix_dedup(df).collect()} == want
+
+
 def test_near_duplicates(docs):
     want = neardup.brute_force(table())
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
@@ -103,6 +160,32 @@ def test_star(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == want
 
 
+def crowd(n, places, values, edits, seed):
+    """Documents of one text with a few edits each, from few places and values: a dense region."""
+    r, base, rows = np.random.default_rng(seed), [f"w{i}" for i in range(300)], []
+    where = r.choice(300, places, replace=False)
+    for i in range(n):
+        own = list(base)
+        for at in r.choice(where, edits, replace=False):
+            own[at] = f"e{at}_{r.integers(values)}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.mark.parametrize("n, places, values, edits, partitions", [(400, 58, 20, 3, 3), (400, 58, 20, 3, 50), (500, 90, 6, 4, 3), (500, 200, 30, 5, 7)])
+def test_crowds(spark, n, places, values, edits, partitions):
+    """Every link between components is found in regions of hundreds of similar documents."""
+    rows = crowd(n, places, values, edits, n + places)
+    want = neardup.brute_force(rows)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want
+
+
 def test_empty_and_null_ids(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert substring.substring_dedup(none).count() == suffixes.suffix_dedup(none).count() == neardup.near_duplicates(none).count() == 0
