@@ -26,7 +26,7 @@ def map_text(
     fields: list[StructField],
     work: Callable[[pa.RecordBatch], dict[str, object]],
     text: str = "text",
-    batch_bytes: int = 8 << 20,
+    batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """One output row per row: the columns ``keep`` and those that ``work`` makes.
 

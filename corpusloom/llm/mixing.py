@@ -131,7 +131,7 @@ def posteriors(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc
         bounds = np.arange(batch.num_rows + 1, dtype=np.int32) * p.shape[1]
         return {"n_tokens": words, "posterior": pa.ListArray.from_arrays(bounds, pa.array(p.ravel()))}
 
-    return map_text(docs, list(keep), [StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))], work, batch_bytes=4 << 20)
+    return map_text(docs, list(keep), [StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))], work, batch_bytes=3 << 19 if tokenizer else 4 << 20)
 
 
 @dataclass
