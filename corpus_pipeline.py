@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontaminate, mixing, neardup, pii, toxicity
-from corpusloom.llm.queries import TARGETS, label_domain, tokenizer_path
+from corpusloom.llm.queries import TARGETS, label_domain
 from corpusloom.plans.session import drop_path, materialize, read_table, scratch
 
 
@@ -71,7 +71,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Adds each document's rate and likeliest domain for the target mix, and what the mix misses."""
     plain = docs.select("doc_id", "text", *(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)))
     names = [f"_{i}" for i in range(len(docs.columns))]
-    found = mixing.mix(plain, read_table(spark, sf_dir, "labels"), TARGETS, label_domain(), tuple(names), tokenizer_path())
+    found = mixing.mix(plain, read_table(spark, sf_dir, "labels"), TARGETS, label_domain(), tuple(names))  # tokens are words: a worker of five stages has no memory for a transducer
     rate, domain, gap = _fresh(docs, "rate", "domain", "gap")
     made = [F.round("rate", 6).alias(rate), F.col("domain").alias(domain), F.round("gap", 6).alias(gap)]
     return found.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)), *made)
