@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -51,10 +52,24 @@ def map_text(
                         x = pa.array(x, type=f.type)
                     columns.append(x if x.type == f.type else x.cast(f.type))
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            trim()
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def trim() -> None:
+    """Gives freed memory back, so that a worker that serves many stages does not keep the most of each."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def pieces(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` of about ``most`` bytes of ``text``, or of one longer row."""
     if not batch.num_rows:

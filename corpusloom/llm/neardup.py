@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField
 
-from corpusloom.llm.arrays import SPACES, PrefixHash, byte_view, column, gather, gram_hashes, lower_ascii, map_text, mixed, words_of
+from corpusloom.llm.arrays import SPACES, PrefixHash, byte_view, column, gather, gram_hashes, lower_ascii, map_text, mixed, trim, words_of
 from corpusloom.operators.components import connected_components
 from corpusloom.plans.session import Scratch, materialize, scratch, shuffle_partitions
 
@@ -174,6 +174,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 hashes, offsets = shingle_sets(data, np.concatenate([[0], np.cumsum([len(r) for r in raws])]).astype(np.int64))
                 sets = [hashes[p:q] for p, q in zip(offsets[:-1], offsets[1:], strict=True)]
                 keep = np.array([linked(sets[i], sets[j]) for i, j in zip(x, y, strict=True)], bool)
+                del raws, data, hashes, sets, texts
+                trim()
                 yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
     first = pairs.join(texts.select(F.col("id").alias("a"), F.col("packed").alias("text_a")), "a")
@@ -255,6 +257,8 @@ def meeting_links(table: pa.Table) -> pa.Table:
         left += [node[a]] * len(one)
         right += node[b[one]].tolist()
         label[np.isin(label, joined)] = label[a]
+    del raws, hashes, values, ids, marked
+    trim()
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 

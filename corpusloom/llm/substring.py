@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.arrays import PrefixHash, byte_view, column, gather, gram_hashes, mixed, pieces, words_of
+from corpusloom.llm.arrays import PrefixHash, byte_view, column, gather, gram_hashes, mixed, pieces, trim, words_of
 from corpusloom.llm.packing import MOST, SEGMENT, Strings, anchors, blob_rows, blobs_of, bucket_count, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
 
 GRAM = 3
@@ -157,6 +157,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
 
     def count(table: pa.Table) -> pa.Table:
         found = ranges_to_remove(unpack_bucket(blobs_of(table), known), window)
+        trim()
         return pa.Table.from_batches([blob_rows(pack_ranges(*found, buckets), "block")])
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.arrays import _BASE, PrefixHash, byte_view, column, gather, mixed, pieces, union_ranges
+from corpusloom.llm.arrays import _BASE, PrefixHash, byte_view, column, gather, mixed, pieces, trim, union_ranges
 from corpusloom.llm.packing import MOST, SEGMENT, Strings, anchors, blob_rows, blobs_of, bucket_count, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
 
 GRAM = 41
@@ -204,6 +204,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
 
     def sort(table: pa.Table) -> pa.Table:
         found = repeats(unpack_bucket(blobs_of(table), known), length)
+        trim()
         return pa.Table.from_batches([blob_rows(pack_ranges(*found, buckets), "block")])
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
