@@ -76,14 +76,14 @@ def block_diff(old: str, new: str, old_name: str = "current", new_name: str = "s
 
 
 def changed_spans(old: str, new: str) -> list[tuple[int, int]]:
-    """1-based line ranges of the old text that a change touches; inserts have no length."""
+    """1-based line ranges of the old text that a change touches; an insert touches the line before it."""
     match = difflib.SequenceMatcher(None, old.splitlines(keepends=True), new.splitlines(keepends=True), autojunk=False)
-    return [(a + 1, b) for tag, a, b, _, _ in match.get_opcodes() if tag != "equal"]
+    return [(a + 1, b) if a < b else (max(a, 1), max(a, 1)) for tag, a, b, _, _ in match.get_opcodes() if tag != "equal"]
 
 
 def outside_ranges(old: str, new: str, allowed: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Changes that no allowed range of lines contains."""
-    return [(a, b) for a, b in changed_spans(old, new) if not any(x <= a and max(a, b) <= y for x, y in allowed)]
+    return [(a, b) for a, b in changed_spans(old, new) if not any(x <= a and b <= y for x, y in allowed)]
 
 
 def rewrite_relations(text: str, targets: dict[str, str]) -> str:
