@@ -184,6 +184,28 @@ def q17_finish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.finish(linked_corpus(spark, sf_dir), "NAT-7")["dependents"].select("document_id", F.array_join("relations", ",").alias("relations"))
 
 
+@query("q17_included", f"WITH {CUST} SELECT 'CUST-7' AS document_id, 'contact,history' AS omitted_h2 UNION ALL SELECT nat, 'profile' FROM cust WHERE k = 7")
+def q17_included(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a finished task's packet held, and the H2 sections it left out."""
+    return commands.finish(linked_corpus(spark, sf_dir), "CUST-7")["included"].select("document_id", F.array_join("omitted_h2", ",").alias("omitted_h2"))
+
+
+@query("q17_freshness", f"WITH {CUST} SELECT id AS source_id, nat AS target_id, CAST(k % 2 + 1 AS BIGINT) AS pin, CASE WHEN k % 2 = 0 THEN 'current' ELSE 'stale' END AS state FROM cust WHERE k = 7")
+def q17_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.finish(linked_corpus(spark, sf_dir), "CUST-7")["freshness"].select("source_id", "target_id", "pin", "state")
+
+
+@query("q28_report", f"WITH {CUST}, {GROUPS}, stale AS (SELECT count(*) AS n FROM cust WHERE k % 2 = 1) SELECT name, CAST(value AS VARCHAR) AS value FROM (SELECT 'errors' AS name, 0 AS value UNION ALL SELECT 'warnings', n FROM stale UNION ALL SELECT 'adoption_resolved', 0 UNION ALL SELECT 'adoption_boundaries', 0 UNION ALL SELECT 'stale_pins', n FROM stale UNION ALL SELECT 'pins.stale', n FROM stale UNION ALL SELECT 'pins.current', (SELECT count(*) FROM cust) - n FROM stale UNION ALL SELECT 'documents', (SELECT count(*) FROM cust) + (SELECT count(*) FROM groups) + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + 2)")
+def q28_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.report(linked_corpus(spark, sf_dir))
+
+
+@query("q28_context_gap", "SELECT 'initial' AS kind, 'CUST-7' AS address, CAST(1 AS BIGINT) AS revision, CAST(NULL AS INTEGER) AS start_line, CAST(NULL AS INTEGER) AS end_line UNION ALL SELECT 'expanded', 'CUST-9#history', 1, 15, 19")
+def q28_context_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of a report on a packet that lacked a section: revisions and lines, no text."""
+    return commands.context_gap(linked_corpus(spark, sf_dir), "missing_section", ("CUST-7",), ("CUST-9#history",), ("plan",))
+
+
 # Health and inventory ----------------------------------------------------------------------
 @query("q8_graph_health", f"WITH {CUST}, {GROUPS} SELECT 'pin' AS kind, CASE WHEN k % 2 = 0 THEN 'current' ELSE 'stale' END AS name, CAST(count(*) AS BIGINT) AS n FROM cust GROUP BY ALL UNION ALL SELECT 'missing', 'weight', (SELECT count(*) FROM cust WHERE k % 3 = 0) + (SELECT count(*) FROM groups) + 2 + (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) UNION ALL SELECT 'components', '', 1")
 def q8_graph_health(spark: SparkSession, sf_dir: str) -> DataFrame:

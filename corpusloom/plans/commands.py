@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.blocks import scan_markers
 from corpusloom.functions.markdown import ID, valid_anchor
-from corpusloom.operators import analytics, federation, program, ranges, resolve, snapshots, traverse, validate
+from corpusloom.operators import analytics, federation, maintenance, program, ranges, resolve, snapshots, transactions, traverse, validate
 from corpusloom.plans.session import materialize
 from corpusloom.sources.corpus import Corpus, section_text
 from corpusloom.sources.policy import View
@@ -320,12 +322,92 @@ def changes(corpus: Corpus, root: str, selector: str) -> dict[str, DataFrame]:
     }
 
 
-def finish(corpus: Corpus, document_id: str) -> dict[str, DataFrame]:
-    """What is left to look at before a task ends: dependents, stale pins, issues."""
+# Why a reading went beyond its packet, which of these are no fault of it, and what that changed.
+GAP_REASONS = ("task_requires_full_review", "missing_dependency", "missing_section", "poor_section_granularity", "unresolved_authority", "stale_relation", "missing_reverse_reference", "navigation_insufficient", "profile_gap", "external_boundary", "agent_uncertainty", "manual_inspection")
+GAP_LOCAL = ("task_requires_full_review", "agent_uncertainty", "manual_inspection")
+GAP_IMPACTS = ("plan", "scope", "decision", "verification", "result")
+
+
+def finish(corpus: Corpus, document_id: str, depth: int = 1, include_related: bool = False) -> dict[str, DataFrame]:
+    """What is left to look at before a task ends.
+
+    ``included`` is what the task's packet held, with the H2 sections it left out;
+    ``freshness``, ``migrations`` and ``boundaries`` are of these documents;
+    ``dependents``, ``pins`` and ``issues`` are what the task may have touched.
+    """
+    find_document(corpus, document_id)
     edges = resolve.dependency_edges(corpus).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst"), "relation")
+    chosen = materialize(traverse.context_selection(edges, _starts(corpus, document_id), depth, RELATED_RELATIONS if include_related else DEFAULT_RELATIONS), "finish")
+    h2 = F.filter("sections", lambda s: (s["level"] == 2) & ~s["anchor"].isin(*corpus.policy.extend_through)) if corpus.policy.extend_through else F.filter("sections", lambda s: s["level"] == 2)
+    included = chosen.select("document_id", "distance", F.col("relations").alias("by")).join(corpus.parsed.select("document_id", "path", "sections"), "document_id")
+    own = chosen.select(F.col("document_id").alias("source_id"))
+    legacy = resolve.legacy_relations(corpus).withColumnRenamed("document_id", "source_id").join(own, "source_id", "left_semi")
     near = traverse.context_selection(edges, _starts(corpus, document_id), 1, RELATED_RELATIONS, "reverse")
-    pins = resolve.pin_states(corpus).where(F.col("target_id") == document_id)
-    return {"dependents": near.where("distance > 0"), "pins": pins, "issues": validate.catalog_issues(corpus, graph=True)}
+    pins = resolve.pin_states(corpus)
+    return {
+        "included": included.select("document_id", "path", "distance", F.col("by").alias("relations"), F.transform(h2, lambda s: s["anchor"]).alias("omitted_h2")).orderBy("distance", "document_id"),
+        "freshness": pins.join(own, "source_id", "left_semi"),
+        "migrations": legacy.where("target_id IS NOT NULL"),
+        "boundaries": legacy.where("category IS NOT NULL"),
+        "dependents": near.where("distance > 0"),
+        "pins": pins.where(F.col("target_id") == document_id),
+        "issues": validate.catalog_issues(corpus, graph=True),
+    }
+
+
+def address_evidence(corpus: Corpus, addresses: tuple[str, ...]) -> DataFrame:
+    """(address, revision, start_line, end_line) of addresses, without any text.
+
+    A repeated address is an error, as is one that names nothing.
+    """
+    if len(set(addresses)) < len(addresses):
+        raise ValueError("an address occurs twice")
+    asked = corpus.parsed.sparkSession.createDataFrame([(i, a, *p) for i, (a, p) in enumerate(zip(addresses, selection(addresses), strict=True))], "at int, address string, document_id string, anchor string")
+    known = corpus.unique.select("document_id", "revision").join(F.broadcast(asked), "document_id")  # as many rows as the call names
+    spans = corpus.headings.where("anchor IS NOT NULL").select("path", F.col("anchor").alias("h"), "start_line", "end_line")
+    at = known.join(corpus.unique.select("document_id", "path"), "document_id").join(spans, ["path"], "left")
+    here = F.col("h") == F.col("anchor")
+    found = at.groupBy("at", "address", "anchor", "revision").agg(F.min(F.when(here, F.col("start_line"))).alias("start_line"), F.min(F.when(here, F.col("end_line"))).alias("end_line"))
+    found = found.where("anchor IS NULL OR start_line IS NOT NULL")
+    if missing := sorted(set(addresses) - {r.address for r in found.select("address").collect()}):
+        raise LookupError(f"not found: {', '.join(missing)}")
+    return found.orderBy("at").select("address", "revision", "start_line", "end_line")
+
+
+def context_gap(corpus: Corpus, reason: str, initial: tuple[str, ...], expanded: tuple[str, ...], impacts: tuple[str, ...]) -> DataFrame:
+    """(kind, address, revision, start_line, end_line): evidence that a packet lacked what mattered."""
+    if reason not in GAP_REASONS or reason in GAP_LOCAL:
+        raise ValueError(f"{reason} is no reason for a report")
+    if not initial or not expanded or not impacts or set(impacts) - set(GAP_IMPACTS) or len(set(impacts)) < len(impacts):
+        raise ValueError(f"a report needs both kinds of addresses, and each impact once out of {', '.join(GAP_IMPACTS)}")
+    kinds = {"initial": address_evidence(corpus, initial), "expanded": address_evidence(corpus, expanded)}
+    return reduce(DataFrame.unionByName, (found.select(F.lit(kind).alias("kind"), "*") for kind, found in kinds.items()))
+
+
+def report(corpus: Corpus, root: str | None = None) -> DataFrame:
+    """(name, value): the state of a corpus in numbers, as a fault report states it."""
+    spark = corpus.parsed.sparkSession
+    summary = validate.validation_summary(validate.catalog_issues(corpus)).first().asDict()
+    pins = {r.state: r.n for r in resolve.pin_states(corpus).groupBy("state").agg(F.count("*").alias("n")).collect()}
+    rows = [*summary.items(), *((f"pins.{s}", n) for s, n in pins.items()), ("documents", corpus.documents.count())]
+    state = [("projection", snapshots.generation_status(corpus, root))] if root else []
+    return spark.createDataFrame([(k, str(v)) for k, v in [*rows, *state]], "name string, value string")
+
+
+def maintenance_write(corpus: Corpus, target: str, folder: str, journal: str, workstream: str, moment: str, shown: str) -> transactions.Outcome:
+    """Writes what a preview of hash ``shown`` showed, in one transaction; another state is an error.
+
+    Afterwards no marker of the written files may be broken and each block says what the source says.
+    """
+    edits, guards = maintenance.write_plan(corpus, target)
+    if transactions.preview_hash(edits, guards) != shown:
+        raise transactions.TransactionError("the preview is of another state")
+    spans = {e.path: e.semantic for e in edits}
+
+    def sound(root: Path) -> bool:
+        return all((root / p).read_text("utf-8") == text and not scan_markers(text, target)[1] for p, text in spans.items())
+
+    return transactions.transact(folder, journal, workstream, moment, edits, sound, guards)
 
 
 def doctor(corpus: Corpus) -> DataFrame:

@@ -170,6 +170,17 @@ def j23_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintenance.occurrences(flawed_corpus(spark, sf_dir), "terms", source)
 
 
+DRIFTED = f"""{PARTS}, drifted AS (SELECT id AS document_id, path, '---' || chr(10) || 'id: ' || id || chr(10) || 'revision: 1' || chr(10) || 'type: spec' || chr(10) || 'related: [' || goal || ']' || chr(10) || '---' || chr(10) || '# Part ' || k || chr(10) || chr(10)
+ || CASE WHEN k % 5 = 0 THEN '<a id="lost"></a>' || chr(10) || 'text' || chr(10) ELSE '' END || CASE WHEN k % 7 = 0 THEN '#' ELSE '' END || '## Contract' || chr(10) || 'x' || chr(10) || '<!-- tool:managed target=terms -->' || chr(10) AS top, chr(10) || '<!-- /tool:managed target=terms -->' || chr(10) AS rest FROM parts WHERE k % 12 = 6)"""
+
+
+@query("q27_preview", f"WITH {DRIFTED} SELECT document_id, sha256(top || 'body 6' || rest) AS before, sha256(top || 'body 0' || rest) AS after FROM drifted")
+def q27_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with drifted blocks as they are and as writing would leave them (M8)."""
+    source = spark.createDataFrame([("body 0\n",)], "body string")
+    return maintenance.preview(flawed_corpus(spark, sf_dir), "terms", source).select("document_id", "before", F.sha2("content", 256).alias("after"))
+
+
 @query("p17_markers", "SELECT 'PART-' || p_partkey AS document_id, 'managed' AS kind, 'body ' || (p_partkey % 12) || chr(10) AS body, CAST(11 + CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS INTEGER) AS start FROM part WHERE p_partkey % 6 = 0")
 def p17_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of a target's blocks and the exact text in them."""

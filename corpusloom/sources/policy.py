@@ -190,9 +190,15 @@ def source_status(source: Source) -> tuple[str, str | None]:
 
 
 def discover_workspace(option: str | None = None, start: str | Path = ".") -> Path:
-    """The workspace by option, else environment, else a pointer file; else an error."""
-    if option or (option := os.environ.get("CORPUSLOOM_WORKSPACE")):
-        found = Path(option)
+    """The workspace by option, else environment, else a pointer file; else an error.
+
+    A variable that is set but empty is an error, and not passed over.
+    """
+    named = option if option is not None else os.environ.get("CORPUSLOOM_WORKSPACE")
+    if named is not None:
+        if not named.strip():
+            raise PolicyError("the workspace is named by an empty text")
+        found = Path(named).expanduser()
     else:
         pointer = Path(start) / ".corpusloom-workspace"
         if not pointer.is_file():
@@ -201,3 +207,41 @@ def discover_workspace(option: str | None = None, start: str | Path = ".") -> Pa
     if not (found / WORKSPACE_NAME).is_file():
         raise PolicyError(f"{found} has no {WORKSPACE_NAME}")
     return found
+
+
+def resolve_source(name: str, option: str | None = None, start: str | Path = ".") -> Source:
+    """One available source of the workspace; another name or state is an error, never another source."""
+    source = next((s for s in load_workspace(discover_workspace(option, start)) if s.name == name), None)
+    if source is None:
+        raise PolicyError(f"the workspace has no source {name}")
+    state, reason = source_status(source)
+    if state != "available":
+        raise PolicyError(f"source {name} is unavailable: {reason}")
+    return source
+
+
+def described(policy: Policy) -> list[tuple[str, str]]:
+    """(key, value) of a policy as it holds, defaults included, in the order of the keys."""
+    shown: dict[str, object] = {"documentation_root": policy.root, "language": policy.language, "relations.legacy_paths": policy.legacy_paths, "projection.keep_generations": policy.keep_generations}
+    shown |= {f"area.{role}": folder for role, folder in policy.areas}
+    shown |= {f"identifier.{p}": p for p in policy.prefixes}
+    shown |= {f"catalog.exclude.{i}": p for i, p in enumerate(policy.exclude)}
+    shown |= {f"navigation.extend_through.{i}": a for i, a in enumerate(policy.extend_through)}
+    shown |= {f"relations.snapshot_type.{t}": t for t in policy.snapshot_types}
+    shown |= {f"relations.snapshot_rule.{r.type}": ",".join(r.statuses) or "-" for r in policy.snapshot_rules}
+    shown |= {f"graph_health.{code}": least for code, least in policy.thresholds}
+    shown |= {"graph_health.required_metadata": ",".join(policy.required_metadata) or "-", "graph_health.report_orphans": str(policy.report_orphans).lower()}
+    shown |= {f"view.{name}": f"{v.direction},{v.depth},{','.join(v.relations) or '-'}" for name, v in policy.views}
+    shown |= {f"profile.{p.name}": f"type:{p.doc_type},metadata:{','.join(p.required_metadata) or '-'},roles:{','.join(r for r, _ in p.required_roles) or '-'}" for p in policy.profiles}
+    if policy.delivery_types:
+        shown["traceability"] = f"{policy.delivery_field},{','.join(policy.delivery_types)}"
+    return sorted((k, str(v)) for k, v in shown.items())
+
+
+def initialize(project: str | Path, language: str = "en") -> Path:
+    """A first policy for a folder that has none, and the folder of its documents."""
+    at = Path(project) / CONFIG_NAME
+    with at.open("x", encoding="utf-8") as out:  # an existing one is never overwritten
+        out.write(f'version = 1\n\n[documentation]\nroot = "plan"\nlanguage = {json.dumps(language)}\n')
+    (Path(project) / "plan").mkdir(exist_ok=True)
+    return at

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import pytest
 
-from corpusloom.operators import analytics, federation, resolve, snapshots, validate
+from corpusloom.operators import analytics, federation, maintenance, resolve, snapshots, transactions, validate
 from corpusloom.plans import commands
 from corpusloom.sources.corpus import build_corpus, glob_pattern, list_files, scan_files
-from corpusloom.sources.policy import Policy, PolicyError, Profile, View, load_workspace, parse_policy, source_status
+from corpusloom.sources.policy import Policy, PolicyError, Profile, View, described, initialize, load_policy, load_workspace, parse_policy, resolve_source, source_status
 
 FILES = {
     "README.md": "---\nid: DOC-001\nrevision: 3\ntype: guide\n---\n# Index\n## Intro\n[b](area/b.md#setup) [c](area/c.md) [gone](area/b.md#missing)\n",
@@ -219,3 +219,57 @@ def test_scratch(spark):
         gone, kept = materialize(spark.range(5), "gone"), own.keep(materialize(spark.range(3), "kept"))
         paths = list(own.paths)
     assert kept.count() == 3 and [Path(p.removeprefix("file:")).exists() for p in paths] == [False, True] and gone.columns == ["id"]
+
+
+def test_finish_and_reports(corpus):
+    found = commands.finish(corpus, "DOC-003", depth=2)
+    assert rows(found["included"], "document_id", "distance", "omitted_h2") == [("DOC-001", 1, ["intro"]), ("DOC-002", 1, ["setup"]), ("DOC-003", 0, ["setup"])]
+    assert rows(found["freshness"], "source_id", "pin", "state") == [("DOC-002", 2, "stale")]
+    assert rows(found["migrations"], "value", "target_id") == [("../README.md", "DOC-001")]
+    gap = commands.context_gap(corpus, "stale_relation", ("DOC-002",), ("DOC-001#intro", "DOC-002#deep"), ("scope",))
+    assert rows(gap, "kind", "address", "revision", "start_line", "end_line")[:2] == [("expanded", "DOC-001#intro", 3, 7, 8), ("expanded", "DOC-002#deep", 1, 15, 16)]
+    for bad in (("agent_uncertainty", ("DOC-001",), ("DOC-002",), ("plan",)), ("missing_section", (), ("DOC-002",), ("plan",)), ("missing_section", ("DOC-001",), ("DOC-002",), ("plan", "plan")), ("missing_section", ("DOC-001", "DOC-001"), ("DOC-002",), ("plan",)), ("missing_section", ("DOC-001",), ("DOC-001#nowhere",), ("plan",)), ("missing_section", ("DOC-009",), ("DOC-001",), ("plan",))):
+        with pytest.raises((ValueError, LookupError)):
+            commands.context_gap(corpus, *bad)
+    assert dict(rows(commands.report(corpus), "name", "value"))["documents"] == "3"
+
+
+def test_maintenance_write(spark, tmp_path):
+    block = lambda kind, body: f"<!-- t:{kind} target=terms -->\n{body}<!-- /t:{kind} target=terms -->\n"
+    head = lambda i: f"---\nid: DOC-{i:03}\nrevision: 1\n---\n# D\n## S\n"
+    files = {"a.md": head(1) + block("source", "said\nso\n"), "b.md": head(2) + block("managed", "old\n") + "x\n" + block("managed", ""), "c.md": head(3) + block("managed", "said\nso\n")}
+    (tmp_path / "src").mkdir()
+    for name, text in files.items():
+        (tmp_path / "src" / name).write_text(text)
+    found = corpus_of(spark, files)
+    edits, guards = maintenance.write_plan(found, "terms")
+    assert [e.path for e in edits] == ["b.md"] and list(guards) == ["a.md"]
+    where = (str(tmp_path / "src"), str(tmp_path / "journal"), "WS-1", "2026-01-02T03:04:05Z")
+    with pytest.raises(transactions.TransactionError, match="another state"):
+        commands.maintenance_write(found, "terms", *where, "0" * 64)
+    done = commands.maintenance_write(found, "terms", *where, transactions.preview_hash(edits, guards))
+    assert done.status == "applied" and (tmp_path / "src" / "b.md").read_text() == head(2) + block("managed", "said\nso\n") + "x\n" + block("managed", "said\nso\n")
+    again = corpus_of(spark, {n: (tmp_path / "src" / n).read_text() for n in files})
+    assert {r.state for r in maintenance.occurrences(again, "terms").collect()} == {"current"} and maintenance.write_plan(again, "terms")[0] == []
+    assert transactions.recover(*where[:2], done.generation, "2026-01-02T03:04:06Z").status == "recovered" and (tmp_path / "src" / "b.md").read_text() == files["b.md"]
+
+
+def test_resolve_source(tmp_path, monkeypatch):
+    (tmp_path / "p").mkdir()
+    from corpusloom.sources import policy
+
+    (tmp_path / policy.WORKSPACE_NAME).write_text('[sources]\nalpha = "p"\n')
+    with pytest.raises(PolicyError, match="unavailable: missing-configuration"):
+        resolve_source("alpha", str(tmp_path))
+    at = initialize(tmp_path / "p", "ru")
+    assert dict(described(load_policy(at.parent)))["language"] == "ru"
+    with pytest.raises(FileExistsError):
+        initialize(tmp_path / "p")
+    assert resolve_source("alpha", str(tmp_path)).root == tmp_path / "p"
+    with pytest.raises(PolicyError, match="no source beta"):
+        resolve_source("beta", str(tmp_path))
+    monkeypatch.setenv("CORPUSLOOM_WORKSPACE", " ")
+    with pytest.raises(PolicyError, match="empty"):
+        resolve_source("alpha")
+    monkeypatch.setenv("CORPUSLOOM_WORKSPACE", str(tmp_path))
+    assert resolve_source("alpha").name == "alpha"
