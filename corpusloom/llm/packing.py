@@ -11,7 +11,7 @@ most; that changes sizes, never results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
-from corpusloom.llm.arrays import binary_array, byte_view, column, gather, map_text, sliding_min
+from corpusloom.llm.arrays import binary_array, byte_view, column, gather, map_text, pieces, sliding_min, trim
 from corpusloom.plans.session import shuffle_partitions
 
 #: Bytes of text for each bucket: what one task holds at a time grows with this only.
@@ -110,6 +110,31 @@ def bucket_count(docs: DataFrame) -> int:
     return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
 
 
+def crowded(docs: DataFrame, tags_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], buckets: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets that more than ``most`` strings go to, sorted, and how many do.
+
+    ``tags_of`` yields the tags of a batch's strings. There is at most one such bucket
+    for every ``most`` strings of the table.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 3 << 20):
+                for tags in tags_of(batch):
+                    names, n = np.unique((tags % np.uint64(buckets)).astype(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+            trim()
+
+    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") > most).orderBy("bucket").collect()
+    return np.array([r.bucket for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+
+
+def among(tags: np.ndarray, buckets: int, names: np.ndarray) -> np.ndarray:
+    """Which tags go to one of the named buckets."""
+    return np.isin((tags % np.uint64(buckets)).astype(np.int64), names) if len(names) else np.zeros(len(tags), bool)
+
+
 @dataclass
 class Strings:
     """Distinct strings with a tag each, and their occurrences in documents."""

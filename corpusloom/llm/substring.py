@@ -7,6 +7,10 @@ the windows of the distinct strings are sorted by hash, equal hashes are compare
 byte by byte, and each window gets the smallest doc_id that holds it. Ranges of words
 to remove then travel to the block of their document.
 
+A bucket of more than ``CROWD`` strings, as a passage in many documents makes one, goes
+in parts: each part names its distinct windows with their smallest doc_id, a window over
+all parts finds the smallest of all, and what is smaller than a part's own goes back.
+
 Edge cases: null or empty text, or fewer words than a window, loses nothing; a null
 doc_id counts as larger than any other; rows with one doc_id do not dedup each other;
 repeated rows each get a row; a text may have any length, and is worked on in segments.
@@ -18,12 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from corpusloom.llm.arrays import PrefixHash, byte_view, column, gather, gram_hashes, mixed, pieces, trim, words_of
-from corpusloom.llm.packing import MOST, SEGMENT, Strings, anchors, blob_rows, blobs_of, bucket_count, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
+from corpusloom.llm.arrays import PrefixHash, binary_array, byte_view, column, gather, gram_hashes, mixed, pieces, trim, words_of
+from corpusloom.llm.packing import MOST, SEGMENT, Strings, among, anchors, blob_rows, blobs_of, bucket_count, crowded, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
+from corpusloom.plans.session import materialize
 
 GRAM = 3
+#: Strings beyond which a bucket goes in parts, and strings of a part.
+CROWD, PART = 1 << 19, 1 << 14
 
 
 def super_kmers(data: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
@@ -123,9 +132,24 @@ def _verified(data: np.ndarray, a: np.ndarray, z: np.ndarray, run: np.ndarray, m
     return run
 
 
-def ranges_to_remove(strings: Strings, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def distinct_windows(strings: Strings, window: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct windows, their smallest doc_ids, which of them each window is, offsets by string)."""
+    n = len(strings.offsets) - 1
+    least = np.full(n, MOST)
+    np.minimum.at(least, strings.code, strings.doc_id)
+    a, z, first = words_of(strings.data, strings.offsets)
+    count = np.diff(first) - window + 1
+    k, offsets = gather(np.arange(len(a)), first[:-1], first[:-1] + count)
+    coded = binary_array(*gather(strings.data, a[k], z[k + window - 1])).dictionary_encode()
+    code = coded.indices.to_numpy().astype(np.int64)
+    own = np.full(len(coded.dictionary), MOST)
+    np.minimum.at(own, code, np.repeat(least, count))
+    return coded.dictionary, own, code, offsets
+
+
+def ranges_to_remove(strings: Strings, window: int, owners: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, first word, word after the last) of what occurrences lose, run by run."""
-    owner, offsets = window_owners(strings, window)
+    owner, offsets = owners or window_owners(strings, window)
     low, high = offsets[strings.code], offsets[strings.code + 1]
     at, cuts = gather(np.arange(len(owner)), low, high)
     who = np.repeat(np.arange(len(strings.code)), high - low)
@@ -147,13 +171,25 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     docs = keyed(docs)
     buckets, known = bucket_count(docs), known_text(docs)
 
+    def tags_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for data, rows, _ in segments(*byte_view(column(batch, "text")), window):
+            yield mixed(super_kmers(data, rows, window)[3])
+
+    hot, sizes = crowded(docs, tags_of, buckets, CROWD)
+    parts = -(-sizes // PART)
+
+    def strings_of(batch: pa.RecordBatch, crowds: bool) -> Iterator[tuple[int, bytes]]:
+        ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
+        for data, rows, before in segments(*byte_view(column(batch, "text")), window):
+            joined, a, z, tags, row, place = super_kmers(data, rows, window)
+            tags = mixed(tags)
+            own = np.flatnonzero(among(tags, buckets, hot) == crowds)
+            yield from pack_buckets(joined, a[own], z[own], tags[own], np.zeros(len(own), np.int64), row[own], (place + before)[own], ids, keys, buckets, tagged=False, known=known)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 3 << 20):
-                ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
-                for data, rows, before in segments(*byte_view(column(batch, "text")), window):
-                    joined, a, z, tags, row, place = super_kmers(data, rows, window)
-                    yield blob_rows(pack_buckets(joined, a, z, mixed(tags), np.zeros(len(a), np.int64), row, place + before, ids, keys, buckets, tagged=False, known=known), "bucket")
+                yield blob_rows(strings_of(batch, False), "bucket")
 
     def count(table: pa.Table) -> pa.Table:
         found = ranges_to_remove(unpack_bucket(blobs_of(table), known), window)
@@ -178,8 +214,40 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
             out["kept"].append(b" ".join(words).decode())
         return pa.table({"doc_id": left.column("doc_id"), **{k: pa.array(v, pa.int64() if k != "kept" else pa.string()) for k, v in out.items()}})
 
+    def split_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 3 << 20):
+                found = blob_rows(strings_of(batch, True), "bucket")
+                turn = int(numbers(column(batch, "_key"), 0)[0])  # alike if the task runs again
+                part = turn % parts[np.searchsorted(hot, found.column(0).to_numpy())]
+                yield pa.RecordBatch.from_arrays([found.column(0), pa.array(part), found.column(1)], names=["bucket", "part", "blob"])
+
+    def name(table: pa.Table) -> pa.Table:
+        windows, own, _, _ = distinct_windows(unpack_bucket(blobs_of(table), known), window)
+        trim()
+        place = [pa.array(np.full(len(own), table.column(c)[0].as_py(), np.int64)) for c in ("bucket", "part")]
+        return pa.table([windows.cast(pa.binary()), pa.array(own), *place], names=["window", "own", "bucket", "part"])
+
+    def count_part(left: pa.Table, right: pa.Table) -> pa.Table:
+        strings = unpack_bucket(blobs_of(left), known)
+        windows, own, code, offsets = distinct_windows(strings, window)
+        if right.num_rows:
+            at = pc.index_in(right.column("window").combine_chunks().cast(windows.type), value_set=windows).to_numpy()
+            own[at] = right.column("least").to_numpy()
+        found = ranges_to_remove(strings, window, (own[code], offsets))
+        trim()
+        return pa.Table.from_batches([blob_rows(pack_ranges(*found, buckets), "block")])
+
+    def in_parts() -> DataFrame:
+        crowds = materialize(docs.mapInArrow(split_crowds, "bucket long, part long, blob binary"), "crowds")
+        named = crowds.groupBy("bucket", "part").applyInArrow(name, "window binary, own long, bucket long, part long")
+        least = named.withColumn("least", F.min("own").over(Window.partitionBy("window"))).where("own > least").select("bucket", "part", "window", "least")
+        return crowds.groupBy("bucket", "part").cogroup(least.groupBy("bucket", "part")).applyInArrow(count_part, "block long, blob binary")
+
     packed = docs.mapInArrow(split, "bucket long, blob binary")
     ranges = packed.groupBy("bucket").applyInArrow(count, "block long, blob binary")
+    if len(hot):
+        ranges = ranges.unionAll(in_parts())
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_blocks(docs, buckets, known).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
