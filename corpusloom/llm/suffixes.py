@@ -11,6 +11,11 @@ of steps; the bytes found equal are then compared, so a collision changes nothin
 string at some distance before the anchor repeats if another has the same prefix to
 that distance and the same suffix for the rest: neighbours in both sorted orders tell.
 
+A bucket of more than ``CROWD`` packed strings, as a line in many documents makes one,
+is not sorted by one task. It goes in parts; each part counts its distinct strings of
+``length`` bytes under two independent 64-bit hashes, the counts are summed by hash in
+as many tasks as they need, and what occurs in other parts goes back.
+
 Edge cases: null or empty text, or fewer bytes than ``length``, loses nothing; rows
 with one doc_id are documents of their own, so exact copies lose all; a text may have
 any length, and is worked on in segments; matches never cross documents.
@@ -19,6 +24,7 @@ any length, and is worked on in segments; matches never cross documents.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cmp_to_key
 
 import numpy as np
@@ -26,9 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from corpusloom.llm.arrays import _BASE, PrefixHash, byte_view, column, gather, mixed, pieces, trim, union_ranges
-from corpusloom.llm.packing import MOST, SEGMENT, Strings, anchors, blob_rows, blobs_of, bucket_count, in_blocks, keyed, known_text, numbers, pack_buckets, pack_ranges, row_ranges, unpack_bucket, unpacked_texts
+from corpusloom.llm.packing import MOST, SEGMENT, Strings, among, anchors, blob_rows, blobs_of, bucket_count, crowded, in_blocks, keyed, known_text, numbers, pack, pack_buckets, pack_ranges, row_ranges, unpack, unpack_bucket, unpacked_texts
+from corpusloom.plans.session import materialize
 
 GRAM = 41
+#: Packed strings beyond which a bucket goes in parts, those of a part, and hashes of a task that sums them.
+CROWD, PART, SLOT = 1 << 18, 1 << 13, 1 << 21
+#: Another value for each byte, for a second hash.
+_OTHER = np.random.default_rng(9).permutation(256).astype(np.uint8)
+_PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
 _ALL = (1 << 64) - 1
 
 
@@ -177,7 +189,11 @@ def repeats(strings: Strings, length: int, chunk: int = 2 << 20) -> tuple[np.nda
         of.append(part[string[new]])
         low.append(start[new])
         high.append(start[last] + length)
-    which, low, high = np.concatenate(of), np.concatenate(low), np.concatenate(high)
+    return placed(strings, np.concatenate(of), np.concatenate(low), np.concatenate(high))
+
+
+def placed(strings: Strings, which: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, end) in documents of stretches within strings, for every occurrence."""
     by = np.argsort(which, kind="stable")
     which, low, high = which[by], low[by], high[by]
     a, z = np.searchsorted(which, strings.code, "left"), np.searchsorted(which, strings.code, "right")
@@ -186,6 +202,57 @@ def repeats(strings: Strings, length: int, chunk: int = 2 << 20) -> tuple[np.nda
     return strings.key[who], strings.place[who] + low[at], strings.place[who] + high[at]
 
 
+@dataclass
+class Windows:
+    """The distinct strings of ``length`` bytes of a part, how often each occurs, and where."""
+
+    pair: np.ndarray
+    times: np.ndarray
+    which: np.ndarray  #: of each place: the string of the part, its offset there, and the distinct one
+    at: np.ndarray
+    code: np.ndarray
+
+
+def hashed_windows(strings: Strings, length: int) -> Windows:
+    n = len(strings.offsets) - 1
+    base, ends = strings.offsets[:-1], strings.offsets[1:] - length + 1
+    start, cuts = gather(np.arange(len(strings.data)), base, ends)
+    which = np.repeat(np.arange(n), np.diff(cuts))
+    pair = np.empty(len(start), _PAIR)
+    pair["a"] = mixed(PrefixHash(strings.data).of(start, start + length))
+    pair["b"] = mixed(PrefixHash(_OTHER[strings.data]).of(start, start + length))
+    order = np.lexsort((pair["b"], pair["a"]))
+    new = np.ones(len(order), bool)
+    new[1:] = pair[order][1:] != pair[order][:-1]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    weight = np.bincount(strings.code, minlength=n)[which]
+    return Windows(pair[order][new], np.bincount(code, weight, minlength=int(new.sum())).astype(np.int64), which, start - base[which], code)
+
+
+def found_elsewhere(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each part's hashes with their counts, those that occur once there and again in another part."""
+    pairs, times = np.concatenate([p for p, _ in parts]), np.concatenate([t for _, t in parts])
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    new = np.ones(len(order), bool)
+    new[1:] = pairs[order][1:] != pairs[order][:-1]
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(new) - 1
+    again = (times == 1) & (np.bincount(code, times)[code] > 1)
+    cuts = np.cumsum([0, *(len(p) for p, _ in parts)])
+    return [p[again[a:z]] for (p, _), a, z in zip(parts, cuts[:-1], cuts[1:], strict=True)]
+
+
+def part_repeats(strings: Strings, windows: Windows, others: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, end) of the repeated stretches of a part's occurrences."""
+    gone = ((windows.times > 1) | np.isin(windows.pair, others))[windows.code]
+    which, at = windows.which[gone], windows.at[gone]
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(which) != 0) | (np.diff(at) != 1)
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]]) if len(at) else np.zeros(0, np.int64)
+    return placed(strings, which[new], at[new], at[last] + length)
+
+
 def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): texts without bytes that repeat.
 
@@ -194,13 +261,26 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     docs = keyed(docs)
     buckets, known = bucket_count(docs), known_text(docs)
 
+    def tags_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for data, rows, _ in segments(*byte_view(column(batch, "text")), length):
+            yield mixed(anchored_strings(data, rows, length)[2])
+
+    hot, sizes = crowded(docs, tags_of, buckets, CROWD)
+    parts = -(-sizes // PART)
+    slots = max(1, int(sizes.sum()) * length // SLOT)
+
+    def strings_of(batch: pa.RecordBatch, crowds: bool) -> Iterator[tuple[int, bytes]]:
+        ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
+        for data, rows, before in segments(*byte_view(column(batch, "text")), length):
+            a, z, tags, marks, row = anchored_strings(data, rows, length)
+            tags, place = mixed(tags), a - rows[row] + before
+            own = np.flatnonzero(among(tags, buckets, hot) == crowds)
+            yield from pack_buckets(data, a[own], z[own], tags[own], marks[own], row[own], place[own], ids, keys, buckets, known=known)
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text", 3 << 20):
-                ids, keys = numbers(column(batch, "doc_id"), MOST), numbers(column(batch, "_key"), 0)
-                for data, rows, before in segments(*byte_view(column(batch, "text")), length):
-                    a, z, tags, marks, row = anchored_strings(data, rows, length)
-                    yield blob_rows(pack_buckets(data, a, z, mixed(tags), marks, row, a - rows[row] + before, ids, keys, buckets, known=known), "bucket")
+                yield blob_rows(strings_of(batch, False), "bucket")
 
     def sort(table: pa.Table) -> pa.Table:
         found = repeats(unpack_bucket(blobs_of(table), known), length)
@@ -225,8 +305,49 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
             out["n_spans"].append(len(begins))
         return pa.table({"doc_id": left.column("doc_id"), **{k: pa.array(v, pa.int64() if k != "kept" else pa.binary()) for k, v in out.items()}})
 
+    def split_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "text", 3 << 20):
+                found = blob_rows(strings_of(batch, True), "bucket")
+                turn = int(numbers(column(batch, "_key"), 0)[0])  # alike if the task runs again
+                part = turn % parts[np.searchsorted(hot, found.column(0).to_numpy())]
+                yield pa.RecordBatch.from_arrays([found.column(0), pa.array(part), found.column(1)], names=["bucket", "part", "blob"])
+
+    def name(table: pa.Table) -> pa.Table:
+        windows = hashed_windows(unpack_bucket(blobs_of(table), known), length)
+        trim()
+        slot = (windows.pair["a"] % np.uint64(slots)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+        used = np.flatnonzero(np.diff(cuts))
+        blobs = [pack(windows.pair[order[cuts[i] : cuts[i + 1]]].view(np.uint64), windows.times[order[cuts[i] : cuts[i + 1]]]) for i in used.tolist()]
+        place = [pa.array(np.full(len(used), table.column(c)[0].as_py(), np.int64)) for c in ("bucket", "part")]
+        return pa.table([pa.array(used.astype(np.int64)), *place, pa.array(blobs, pa.binary())], names=["slot", "bucket", "part", "blob"])
+
+    def total(table: pa.Table) -> pa.Table:
+        held = [unpack(b, np.uint64, np.int64) for b in blobs_of(table)]
+        back = found_elsewhere([(pair.view(_PAIR), times) for pair, times in held])
+        trim()
+        some = pa.array([i for i, pair in enumerate(back) if len(pair)], pa.int64())
+        return pa.table([table.column("bucket").take(some), table.column("part").take(some), pa.array([pack(back[i].view(np.uint64)) for i in some.to_pylist()], pa.binary())], names=["bucket", "part", "blob"])
+
+    def sort_part(left: pa.Table, right: pa.Table) -> pa.Table:
+        strings = unpack_bucket(blobs_of(left), known)
+        others = [unpack(b, np.uint64)[0].view(_PAIR) for b in blobs_of(right)]
+        found = part_repeats(strings, hashed_windows(strings, length), np.concatenate([np.zeros(0, _PAIR), *others]), length)
+        trim()
+        return pa.Table.from_batches([blob_rows(pack_ranges(*found, buckets), "block")])
+
+    def in_parts() -> DataFrame:
+        crowds = materialize(docs.mapInArrow(split_crowds, "bucket long, part long, blob binary"), "crowds")
+        named = crowds.groupBy("bucket", "part").applyInArrow(name, "slot long, bucket long, part long, blob binary")
+        back = named.groupBy("slot").applyInArrow(total, "bucket long, part long, blob binary")
+        return crowds.groupBy("bucket", "part").cogroup(back.groupBy("bucket", "part")).applyInArrow(sort_part, "block long, blob binary")
+
     packed = docs.mapInArrow(split, "bucket long, blob binary")
     ranges = packed.groupBy("bucket").applyInArrow(sort, "block long, blob binary")
+    if len(hot):
+        ranges = ranges.unionAll(in_parts())
     kind = docs.schema["doc_id"].dataType.simpleString()
     return in_blocks(docs, buckets, known).groupBy("block").cogroup(ranges.groupBy("block")).applyInArrow(keep, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 

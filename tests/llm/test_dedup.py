@@ -106,13 +106,17 @@ def test_boilerplate_everywhere(spark):
 @pytest.mark.parametrize(("crowd", "part"), [(0, 3), (20, 8), (200, 1 << 14)])
 def test_crowded_buckets(spark, docs, monkeypatch, crowd, part):
     """Buckets that go in parts give what whole ones give."""
-    monkeypatch.setattr(substring, "CROWD", crowd)
-    monkeypatch.setattr(substring, "PART", part)
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(docs).collect()} == substring.brute_force(table())
-    line = prose(40, [f"c{i}" for i in range(300)])
+    for module in (substring, suffixes):
+        monkeypatch.setattr(module, "CROWD", crowd)
+        monkeypatch.setattr(module, "PART", part)
+    monkeypatch.setattr(suffixes, "SLOT", 1 << 12)
+    line = prose(80, [f"c{i}" for i in range(300)])
     rows = [(i, f"{prose(12)} {line} {prose(12)}" if i % 3 else f"{line} {line}") for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(df).collect()} == substring.brute_force(rows)
+    for own, given in ((docs, table()), (df, rows)):
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.substring_dedup(own).collect()} == substring.brute_force(given)
+        want = {r[0]: r[1:] for r in suffixes.brute_force(given)}
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.suffix_dedup(own).collect()} == want
 
 
 def test_near_duplicates(docs):
