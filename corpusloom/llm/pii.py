@@ -15,7 +15,10 @@ one of them. A span that
 touches an inner edge of its window is left to the neighbour that sees it whole; one
 that no window sees whole is read again in a window of its own, larger until it fits.
 What remains is ordered by score, and a span stays if it passes its kind's test and
-meets no pattern match and no better span.
+meets no pattern match and no better span. A text's scores are the same to the last bit
+whatever is read beside it: states and weights are rounded to ``1 / FINE``, so that sums
+of their products are exact in any order, and tags end with their window, outside of all
+spans where the text ends with it.
 
 Edge cases: a null or empty text has no spans; repeated rows each get a row; texts of
 any length are read whole; equal scores go by place; other columns are ignored unless
@@ -118,6 +121,7 @@ for _i, _c in enumerate(_ALPHABET):
     _CODES[[ord(_c), ord(_c.upper())]] = _i + 2
 WINDOW, OVERLAP = 256, 64
 CROP = 128  #: characters of a training window
+FINE = 1 << 20  #: sums of products of such fractions below 2^13 fit a double
 
 
 def encoded(text: str) -> np.ndarray:
@@ -315,13 +319,14 @@ class Tagger:
         h, lanes = self.h, codes.shape[1]
         e = np.broadcast_to(self.p["out_b"], (len(codes), lanes, N_TAGS)).copy()
         for d, way in (("f", range(len(codes))), ("b", range(len(codes) - 1, -1, -1))):
-            table, move = self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"], self.p[f"h{d}"]
-            out = self.p["out"][:h] if d == "f" else self.p["out"][h:]
-            state, cell = np.zeros((lanes, h), np.float32), np.zeros((lanes, h), np.float32)
+            table = self.p["emb"] @ self.p[f"x{d}"] + self.p[f"c{d}"]
+            move, out = (np.rint(w.astype(np.float64) * FINE) / FINE**2 for w in (self.p[f"h{d}"], self.p["out"][:h] if d == "f" else self.p["out"][h:]))
+            state, cell = np.zeros((lanes, h)), np.zeros((lanes, h), np.float32)  # states times FINE
             for t in way:
                 n = int(live[t])
+                held = state[:n]
                 z = table[codes[t, :n]]
-                z += state[:n] @ move
+                z += (held @ move).astype(np.float32)
                 gates, new, own = z[:, : 3 * h], np.tanh(z[:, 3 * h :]), cell[:n]
                 gates *= 0.5  # a sigmoid by the faster tangent
                 np.tanh(gates, out=gates)
@@ -332,8 +337,8 @@ class Tagger:
                 own += new
                 np.tanh(own, out=new)
                 new *= gates[:, 2 * h :]
-                state[:n] = new
-                e[t, :n] += new @ out
+                np.rint(np.multiply(new, FINE, out=held), out=held)
+                e[t, :n] += (held @ out).astype(np.float32)
         return e
 
     def least_to_leave(self) -> float:
@@ -344,18 +349,27 @@ class Tagger:
         move = self.p["next"]
         return -float(max(0.0, (move[:, 1:] + _NEVER[:, 1:]).max() - move[0, 0]) + max(0.0, move[1:, 0].max() - move[0, 0]))
 
-    def best_tags(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (lane, time) of scores, and how far each tag is ahead of outside."""
+    def best_tags(self, e: np.ndarray, size: np.ndarray | None = None, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Best tags (lane, time) of scores, and how far each tag is ahead of outside.
+
+        Lanes are sorted longest first; beyond its ``size`` a lane is outside. Getting there
+        counts in the lanes that are the ``last`` of their text.
+        """
+        size = np.full(e.shape[1], len(e)) if size is None else size
         move = self.p["next"] + _NEVER.astype(np.float32)
         best, links = e[0] + _FIRST.astype(np.float32), []
-        for t in range(1, len(e)):
-            ways = best[:, :, None] + move
+        live = np.searchsorted(-size, -np.arange(len(e)), "left").tolist()
+        for n, now in zip(live[1:], e[1:], strict=True):
+            ways = best[:n, :, None] + move
             links.append(ways.argmax(1))
-            best = e[t] + ways.max(1)
-        tags = np.empty((e.shape[1], len(e)), np.int64)
-        tags[:, -1] = best.argmax(1)
+            best[:n] = now[:n] + ways.max(1)
+        if last is not None:
+            best[last] += move[:, 0]
+        tags = np.zeros((e.shape[1], len(e)), np.int64)
+        tags[np.arange(len(tags)), size - 1] = best.argmax(1)
         for t in range(len(links) - 1, -1, -1):
-            tags[:, t] = links[t][np.arange(len(tags)), tags[:, t + 1]]
+            n = live[t + 1]
+            tags[:n, t] = links[t][np.arange(n), tags[:n, t + 1]]
         ahead = np.take_along_axis(e.transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0] - e[:, :, 0].T
         return tags, ahead
 
@@ -426,8 +440,12 @@ def plausible(kind: str, item: str) -> bool:
 Found = tuple[float, str, int, int]
 
 
-def tagged(codes: np.ndarray, start: np.ndarray, end: np.ndarray, model: Tagger, lanes: int = 2048) -> list[tuple[int, float, str, int, int]]:
-    """(window, score, kind, start, end) of the spans of windows ``codes[start:end]``."""
+def tagged(codes: np.ndarray, start: np.ndarray, end: np.ndarray, model: Tagger, last: np.ndarray | None = None, lanes: int = 2048) -> list[tuple[int, float, str, int, int]]:
+    """(window, score, kind, start, end) of the spans of windows ``codes[start:end]``.
+
+    ``last`` says which of them end their text, by default all.
+    """
+    last = np.ones(len(start), bool) if last is None else last
     out, order, least = [], np.argsort(start - end, kind="stable"), model.least_to_leave()
     for at in range(0, len(order), lanes):
         own = order[at : at + lanes]
@@ -442,13 +460,13 @@ def tagged(codes: np.ndarray, start: np.ndarray, end: np.ndarray, model: Tagger,
         busy = np.flatnonzero((lead > least).any(0))
         if not len(busy):
             continue
-        tags, ahead = model.best_tags(e[:, busy])
+        tags, ahead = model.best_tags(e[:, busy], size[busy], last[own[busy]])
         for lane, t in zip(*(x.tolist() for x in np.nonzero(tags % 2 == 1)), strict=True):
             row = tags[lane]
-            last = t + 1
-            while last < len(row) and row[last] == row[t] + 1:
-                last += 1
-            out.append((int(own[busy[lane]]), float(ahead[lane, t:last].mean()), KINDS[row[t] // 2], t, last))
+            to = t + 1
+            while to < len(row) and row[to] == row[t] + 1:
+                to += 1
+            out.append((int(own[busy[lane]]), float(ahead[lane, t:to].mean()), KINDS[row[t] // 2], t, to))
     return out
 
 
@@ -471,7 +489,7 @@ def model_spans(texts: list[str], model: Tagger, every: bool = False) -> list[li
         text, start, end = text[some], start[some], end[some]
     while len(text):
         cut: list[tuple[int, str, int, int, int]] = []
-        for w, score, kind, a, b in tagged(codes, base[text] + start, base[text] + end, model):
+        for w, score, kind, a, b in tagged(codes, base[text] + start, base[text] + end, model, end == sizes[text]):
             i, at = int(text[w]), int(start[w])
             if (a == 0 and at > 0) or (at + b == end[w] and end[w] < sizes[i]):
                 cut.append((i, kind, at + a, at + b, w))

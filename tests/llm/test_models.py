@@ -212,6 +212,14 @@ def test_windows_lose_nothing(tagger):
         assert set().union(*(range(a, b) for t, a, b in zip(text, start, end, strict=True) if t == i)) == set(range(n))
 
 
+def test_spans_whatever_is_beside(tagger):
+    """Scores to the last bit, and where a text ends, do not depend on the batch."""
+    texts = [*whole_texts(), *(pii.labelled_text(np.random.default_rng(i), 60 + i)[0] for i in range(300))]
+    together = pii.model_spans(texts, tagger)
+    assert together[::-1] == pii.model_spans(texts[::-1], tagger)
+    assert together == [pii.model_spans([t], tagger)[0] for t in texts]
+
+
 def test_windows_agree_with_one(tagger):
     """Spans far from window edges are those of one decoding of the whole text."""
     texts, hits, same = [pii.labelled_text(np.random.default_rng(i), 1500)[0] for i in range(12)], 0, 0
